@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +13,25 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package once a session; Spark's own file server distributes it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievework_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="sievework-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._sievework_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a fresh one only where the session names none."""
     sc = spark.sparkContext
