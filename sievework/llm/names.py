@@ -34,7 +34,6 @@ from sievework.llm import parties
 from sievework.session import reliable
 
 Q = 3
-_PRIME = (1 << 61) - 1
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -47,7 +46,8 @@ MEDIUM = (2, bands_for(0.5, 0.92, 2))
 ALONE = (3, bands_for(0.5, 0.96, 3))
 HASHES = max(r * b for r, b in (STRONG, MEDIUM, ALONE))
 _RNG = np.random.default_rng(11)
-_A, _B = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint64), _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64)
+# Odd 64-bit multipliers: the product wraps around, so each hash orders the q-grams in its own way.
+_A, _B = _RNG.integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def qgrams(tokens: tuple[str, ...], q: int = Q) -> list[str]:
@@ -62,7 +62,8 @@ def qgrams(tokens: tuple[str, ...], q: int = Q) -> list[str]:
 def signature(grams: list[str]) -> np.ndarray:
     """MinHash values of a set of q-grams."""
     h = np.fromiter((zlib.crc32(g.encode()) for g in grams), dtype=np.uint64, count=len(grams))
-    return (((h[:, None] * _A[None, :] + _B[None, :]) & np.uint64(0xFFFFFFFFFFFFFFFF)) >> np.uint64(29)).min(axis=0)
+    mixed = h[:, None] * _A[None, :] + _B[None, :]
+    return ((mixed ^ (mixed >> np.uint64(32))) * _A[None, ::-1] >> np.uint64(20)).min(axis=0)
 
 
 def _keys(sig: np.ndarray, rows: int, bands: int, values: list[str]) -> set[int]:
@@ -120,9 +121,9 @@ def name_keys(p: parties.Party) -> list[str]:
 def evidence(a: parties.Party, b: parties.Party) -> float:
     """Weight for one identity: Monge-Elkan similarity of the names plus what CNIC, dates and fathers say; 5 or more is one."""
     name = parties.name_score(a.forms, b.forms)
-    if name < 0.78:
+    if name < 0.64:
         return -9.0
-    weight = 3.0 if name >= 0.95 else 2.0 if name >= 0.88 else 1.0 if name >= 0.83 else 0.0
+    weight = 3.0 if name >= 0.95 else 2.0 if name >= 0.88 else 1.0 if name >= 0.83 else 0.0 if name >= 0.78 else -1.5
     if any(f.firm for f in a.forms) and any(f.firm for f in b.forms):
         return 6.0 if name >= 0.88 else -9.0
     weight += {"equal": 6.0, "near": 3.5, "differ": -4.0, "missing": 0.0}[parties.compare_cnic(a.cnic, b.cnic)]
@@ -139,7 +140,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def features(reps: DataFrame) -> DataFrame:
     """rep, its values, and its bucket keys; names that fold to nothing drop out."""
-    schema = "rep string, names array<string>, cnic string, dobs array<string>, father string, keys array<bigint>, partial array<bigint>, full boolean, stated boolean, firm boolean, name_keys array<string>"
+    schema = "rep string, names array<string>, cnic string, dobs array<string>, father string, keys array<bigint>, partial array<bigint>, full boolean, stated boolean, firm boolean, name_keys array<string>, father_key string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,7 +151,7 @@ def features(reps: DataFrame) -> DataFrame:
                     keys, partial = block_keys(p)
                     full = any(len(d) == 10 for d in p.dobs)
                     firm = any(f.firm for f in p.forms)
-                    out.append((r.rep, list(r.names), r.cnic, list(r.dobs), r.father, keys, partial, full, bool(p.cnic or p.dobs or p.father or firm), firm, name_keys(p)))
+                    out.append((r.rep, list(r.names), r.cnic, list(r.dobs), r.father, keys, partial, full, bool(p.cnic or p.dobs or p.father or firm), firm, name_keys(p), "".join(sorted(parties.phonetic(t) for t in p.father[0])) if p.father else ""))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return reps.select("rep", "names", "cnic", "dobs", "father").mapInPandas(run, schema)
@@ -166,13 +167,14 @@ def candidates(feats: DataFrame) -> DataFrame:
     return by_key.unionByName(by_year).distinct()
 
 
-def verified(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, feats: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """(a, b, weight) of the candidates that are one identity."""
     values = feats.select("rep", F.struct("names", "cnic", "dobs", "father").alias("v"))
     wide = pairs.join(values.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(values.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
     flat = wide.select("a", "b", *[F.col(f"v{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("names", "cnic", "dobs", "father")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parties.use_nicknames(nicknames)
         for pdf in batches:
             keep = []
             for r in pdf.itertuples(index=False):
@@ -186,6 +188,24 @@ def verified(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     return flat.mapInPandas(run, "a string, b string, weight double")
 
 
+def agreeing_names(feats: DataFrame) -> DataFrame:
+    """(a, b): links between mentions of one exact folded name of which all stated CNICs, dates and fathers agree.
+
+    They need not state the same values (one may give a CNIC, the other a date). One aggregate a name, no pairs inside it.
+    """
+    days = F.filter("dobs", lambda d: F.length(d) == 10)
+    years = F.transform(F.filter("dobs", lambda d: ~d.contains("/")), lambda d: d.substr(1, 4))
+    known = feats.filter("NOT firm").select(
+        "rep", F.nullif("cnic", F.lit("")).alias("c"), F.array_min(days).alias("d1"), F.array_max(days).alias("d2"), F.array_min(years).alias("y1"), F.array_max(years).alias("y2"),
+        F.nullif("father_key", F.lit("")).alias("f"), F.explode("name_keys").alias("name_key"),
+    )
+    ends = [("c", "c"), ("d1", "d2"), ("y1", "y2"), ("f", "f")]
+    one = known.groupBy("name_key").agg(F.min("rep").alias("b"), F.count("*").alias("n"), *[F.min(a).alias(f"lo_{a}") for a, _ in ends], *[F.max(b).alias(f"hi_{a}") for a, b in ends])
+    for a, _ in ends:
+        one = one.filter(F.col(f"lo_{a}").isNull() | (F.col(f"lo_{a}") == F.col(f"hi_{a}")))
+    return known.join(one.filter("n > 1").select("name_key", "b"), "name_key").filter("rep <> b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+
+
 def star_clusters(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, centre): stars over undirected links; nodes without links are not listed.
 
@@ -213,12 +233,12 @@ def star_clusters(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return done
 
 
-def link_names(records: DataFrame, people: DataFrame, dates: DataFrame) -> DataFrame:
+def link_names(records: DataFrame, people: DataFrame, dates: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """(key, kind, cluster): the identity of every mention that has one with others, or is alone."""
     rows = reliable(parties.party_rows(records, people, dates))
     reps = reliable(classes(rows))
     feats = reliable(features(reps))
-    links = reliable(verified(candidates(feats), feats))
+    links = reliable(verified(candidates(feats), feats, nicknames).select("a", "b").unionByName(agreeing_names(feats)))
     stars = star_clusters(links)
     placed = feats.select("rep", "stated", "name_keys").join(stars.select(F.col("node").alias("rep"), "centre"), "rep", "left")
     placed = reliable(placed.withColumn("centre", F.coalesce("centre", F.when(F.col("stated"), F.col("rep")))))

@@ -108,6 +108,27 @@ def fold_name(text: str) -> Name:
     return Name(tuple(tokens), False, "", father)
 
 
+_NICKNAMES: frozenset[tuple[str, str]] = frozenset()
+
+
+def use_nicknames(pairs: frozenset[tuple[str, str]]) -> None:
+    """Known short names, as sorted pairs of folded tokens; set once in a worker."""
+    global _NICKNAMES
+    if pairs != _NICKNAMES:
+        _NICKNAMES = pairs
+        token_similarity.cache_clear()
+        monge_elkan.cache_clear()
+
+
+def nickname_pairs(forms: DataFrame, most: int = 20_000) -> frozenset[tuple[str, str]]:
+    """The table of known short names as token pairs. It is a fixed table; beyond ``most`` rows it is refused, not cut."""
+    rows = forms.filter("kind = 'short' AND form IS NOT NULL AND full_form IS NOT NULL").select("form", "full_form").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} known short names")
+    pairs = ((fold_name(r["form"]).tokens, fold_name(r["full_form"]).tokens) for r in rows)
+    return frozenset(tuple(sorted((a[0], b[0]))) for a, b in pairs if len(a) == 1 and len(b) == 1 and a != b)
+
+
 @lru_cache(maxsize=500_000)
 def token_similarity(a: str, b: str) -> float:
     """0..1 for two name parts: spelling variants, initials, short forms cut from the front or the end, dropped vowels."""
@@ -123,6 +144,8 @@ def token_similarity(a: str, b: str) -> float:
     ba, bb = bones(a), bones(b)
     if ba == bb and len(ba) >= 3:
         return 0.95
+    if (a, b) in _NICKNAMES:
+        return 0.93
     best = jaro_winkler(pa, pb)
     short, long_ = (a, b) if len(a) < len(b) else (b, a)
     if len(short) >= 3 and len(long_) - len(short) >= 2:

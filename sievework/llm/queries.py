@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import lookalike, survivorship
+from sievework.llm import lookalike, names, parties, survivorship
+from sievework.plans import problems
 from sievework.session import table
 
 
+def _births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return problems.standard_times(spark, sf_dir).filter("field_name IN ('list_records.dob', 'applicants.dob')")
+
+
+def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = parties.nickname_pairs(table(spark, sf_dir, "name_forms"))
+    return names.link_names(table(spark, sf_dir, "list_records"), table(spark, sf_dir, "applicants"), _births(spark, sf_dir), known)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of mentions of one person or firm, at least one of them an applicant."""
+    return names.cluster_pairs(_identities(spark, sf_dir))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity of every mention, with the number of its mentions."""
+    from pyspark.sql import Window as W
+
+    found = _identities(spark, sf_dir)
+    return found.select("key", "kind", "cluster", F.count("*").over(W.partitionBy("cluster")).alias("mentions"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match whose value survives, for each group and field."""
     found = survivorship.office_survivors(*(table(spark, sf_dir, t) for t in ("matches", "match_groups", "list_meta")))
@@ -42,7 +65,7 @@ def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(texts, lookalike.bigram_counts(texts, "text")).select("field_name", "row_key", "part", "clean_text", "changed").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_texts": p6_texts}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_texts": p6_texts}
 
 _P5 = r"""
 WITH m AS (
