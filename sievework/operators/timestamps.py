@@ -236,14 +236,17 @@ def field_texts(df: DataFrame, key: str, text: str, field_name: str, order: Colu
     )
 
 
-def standardise(texts: DataFrame) -> DataFrame:
+def standardise(texts: DataFrame, clocks: bool = True) -> DataFrame:
     """(field_name, row_key, std_value, zone_basis): one row for each date stated in a row of ``field_texts``.
 
     zone_basis is 'none' for dates and spans, 'stated' for times that carry their zone,
-    'home' for those read in the zone of the row.
+    'home' for those read in the zone of the row. Without ``clocks`` only dates and spans
+    are returned, by a much smaller plan.
     """
     rows = parse_dates(texts.filter("row_key IS NOT NULL AND text IS NOT NULL"), "text", F.col("date_order"), F.col("birth"))
     kind, epoch = F.col("_p.kind"), F.col("_p.epoch")
+    if not clocks:
+        return rows.filter("_p.value IS NOT NULL").select("field_name", "row_key", F.col("_p.value").alias("std_value"), F.lit("none").alias("zone_basis"))
     rows = rows.select("*", F.explode(F.array(F.when(kind == "local", to_utc(epoch, known_zone(F.col("zone")))).otherwise(epoch))).alias("_utc"))
     value = F.when(kind.isin("date", "span"), F.col("_p.value")).otherwise(utc_text(F.col("_utc")))
     basis = F.when(kind == "instant", "stated").when(kind == "local", "home").otherwise("none")

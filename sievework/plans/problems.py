@@ -50,6 +50,16 @@ def standard_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.standardise(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 
 
+def birth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of birth among the standard times: (field_name, row_key, std_value)."""
+    lists = table(spark, sf_dir, "list_records").join(small(_list_order(spark, sf_dir)), F.col("list") == F.col("_list"), "left")
+    people = table(spark, sf_dir, "applicants").join(small(_user_order(spark, sf_dir)), F.col("user_id") == F.col("_user"), "left")
+    texts = timestamps.field_texts(lists, "id", "dob", "list_records.dob", F.col("date_order"), True).unionByName(
+        timestamps.field_texts(people, "id", "dob", "applicants.dob", F.col("date_order"), True)
+    )
+    return timestamps.standardise(texts, clocks=False).select("field_name", "row_key", "std_value")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unambiguous value for each date stated in the four fields."""
     return standard_times(spark, sf_dir).select("field_name", "row_key", "std_value").distinct()
