@@ -209,28 +209,22 @@ def agreeing_names(feats: DataFrame) -> DataFrame:
 def star_clusters(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, centre): stars over undirected links; nodes without links are not listed.
 
-    A round makes every node that outranks its neighbours (more links, then smaller key) a
-    centre and gives it its unassigned neighbours, each taking its best-ranked centre; rounds repeat on what is left.
+    Every node points at the best-ranked of itself and its neighbours (most links, then smaller key). A node
+    that points at itself is a centre; a node whose choice is itself a satellite goes with that node's star.
+    Pointers are doubled until all end in a centre, so the number of passes is the logarithm of the longest chain.
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    degree = both.groupBy("x").agg(F.count("*").alias("n"))
-    rank = degree.select(F.col("x").alias("node"), F.struct((-F.col("n")).alias("n"), F.col("x").alias("key")).alias("rank"))
-    edges = reliable(both.join(rank.select(F.col("node").alias("x"), F.col("rank").alias("rx")), "x").join(rank.select(F.col("node").alias("y"), F.col("rank").alias("ry")), "y"))
-    done = None
+    degree = both.groupBy("x").agg(F.count("*").alias("n")).select(F.col("x").alias("y"), "n")
+    near = both.join(degree, "y").groupBy("x").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("y").alias("key"))).alias("best"), F.count("*").alias("own"))
+    own = F.struct((-F.col("own")).alias("n"), F.col("x").alias("key"))
+    points = reliable(near.select(F.col("x").alias("node"), F.least(own, F.col("best"))["key"].alias("centre")))
     while True:
-        best = edges.groupBy("x", "rx").agg(F.min("ry").alias("best"))
-        centres = best.filter(F.col("rx") < F.col("best")).select(F.col("x").alias("node"), F.col("x").alias("centre"))
-        heads = centres.select(F.col("node").alias("y"), F.lit(1).alias("head"))
-        taken = edges.join(heads, "y", "left_semi").groupBy("x").agg(F.min("ry").alias("r")).select(F.col("x").alias("node"), F.col("r.key").alias("centre"))
-        now = reliable(centres.unionByName(taken.join(centres, "node", "left_anti")))
-        done = now if done is None else done.unionByName(now)
-        gone = now.select(F.col("node").alias("x"))
-        rest = edges.join(gone, "x", "left_anti").join(gone.withColumnRenamed("x", "y"), "y", "left_anti")
-        lonely = edges.select("x").distinct().join(gone, "x", "left_anti").join(rest.select("x").distinct(), "x", "left_anti")
-        done = done.unionByName(lonely.select(F.col("x").alias("node"), F.col("x").alias("centre")))
-        edges = reliable(rest)
-        if edges.isEmpty():
-            return done
+        target = points.select(F.col("node").alias("centre"), F.col("centre").alias("next"))
+        doubled = points.join(target, "centre").select("node", F.col("next").alias("centre"), (F.col("next") != F.col("centre")).alias("moved"))
+        points = reliable(doubled)
+        if points.filter("moved").isEmpty():
+            return points.drop("moved")
+        points = points.drop("moved")
 
 
 def link_names(records: DataFrame, people: DataFrame, dates: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:

@@ -199,6 +199,10 @@ def name_score(forms_a: list[Name], forms_b: list[Name]) -> float:
             if x.firm != y.firm:
                 continue
             s = monge_elkan(x.tokens, y.tokens)
+            if not x.firm and min(len(x.tokens), len(y.tokens)) == 1:
+                lone = x.tokens[0] if len(x.tokens) == 1 else y.tokens[0]
+                if len(lone) < 10 and max(len(f.tokens) for f in (*forms_a, *forms_b)) > 1:
+                    s = min(s, 0.8)  # a short name alone is borne by many
             if x.firm and s > 0:
                 s -= {"equal": 0.0, "open": 0.02, "differ": 0.3}[business_agree(x.business, y.business)]
             best = max(best, s)

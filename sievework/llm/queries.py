@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import lookalike, names, parties, survivorship
+from sievework.llm import linkage, lookalike, names, parties, survivorship
 from sievework.plans import problems
-from sievework.session import table
+from sievework.session import reliable, table
 
 
 def _births(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.standard_times(spark, sf_dir).filter("field_name IN ('list_records.dob', 'applicants.dob')")
+    """Dates of birth, in a checkpoint of their own: the plans that use them stay small."""
+    return reliable(problems.birth_dates(spark, sf_dir))
 
 
 def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,17 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "kind", "cluster", F.count("*").over(W.partitionBy("cluster")).alias("mentions"))
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of list records that are one party, each with its confidence and how it was found."""
+    known = parties.nickname_pairs(table(spark, sf_dir, "name_forms"))
+    return linkage.link_records(table(spark, sf_dir, "list_records"), _births(spark, sf_dir), known)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of list records of different lists that are one party."""
+    return p3_links(spark, sf_dir).select("id_a", "id_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match whose value survives, for each group and field."""
     found = survivorship.office_survivors(*(table(spark, sf_dir, t) for t in ("matches", "match_groups", "list_meta")))
@@ -65,7 +77,7 @@ def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(texts, lookalike.bigram_counts(texts, "text")).select("field_name", "row_key", "part", "clean_text", "changed").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_texts": p6_texts}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_texts": p6_texts}
 
 _P5 = r"""
 WITH m AS (
