@@ -20,7 +20,7 @@ def hash_bucket(key: list[str], buckets: int, salt: int = 7) -> Column:
     return F.floor(spread * F.lit(buckets) / F.lit(1 << 31)).cast("int")
 
 
-def running_sum(df: DataFrame, group: list[str], key: list[str], value: str | None, out: str, buckets: int = 64, salt: int = 7) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], key: list[str], value: str | None, out: str, buckets: int = 256, salt: int = 7) -> DataFrame:
     """Add ``out``: the sum of ``value`` (or the count) over the rows of the group before this one, in hash order of ``key``.
 
     ``key`` must be unique within a group for a stable result; null groups form a group of their own.
