@@ -42,7 +42,7 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 
 
 STRONG = (1, bands_for(0.33, 0.95, 1))
-MEDIUM = (2, bands_for(0.5, 0.92, 2))
+MEDIUM = (3, bands_for(0.5, 0.85, 3))
 ALONE = (3, bands_for(0.5, 0.96, 3))
 HASHES = max(r * b for r, b in (STRONG, MEDIUM, ALONE))
 _RNG = np.random.default_rng(11)
@@ -120,16 +120,20 @@ def name_keys(p: parties.Party) -> list[str]:
 
 def evidence(a: parties.Party, b: parties.Party) -> float:
     """Weight for one identity: Monge-Elkan similarity of the names plus what CNIC, dates and fathers say; 5 or more is one."""
+    weight = {"equal": 6.0, "near": 3.5, "differ": -4.0, "missing": 0.0}[parties.compare_cnic(a.cnic, b.cnic)]
+    weight += {"equal": 4.0, "close": 2.5, "partial": 2.0, "weak": -1.5, "differ": -4.0, "missing": 0.0}[parties.compare_dob(a.dobs, b.dobs)]
+    firms = any(f.firm for f in a.forms) and any(f.firm for f in b.forms)
+    if not firms and weight + 6.0 < 5.0:
+        return -9.0  # not even equal names and fathers would do
+    weight += {"equal": 3.0, "differ": -2.5, "missing": 0.0}[parties.compare_father(a.father, b.father)]
+    if not firms and weight + 3.0 < 5.0:
+        return -9.0
     name = parties.name_score(a.forms, b.forms)
     if name < 0.64:
         return -9.0
-    weight = 3.0 if name >= 0.95 else 2.0 if name >= 0.88 else 1.0 if name >= 0.83 else 0.0 if name >= 0.78 else -1.5
-    if any(f.firm for f in a.forms) and any(f.firm for f in b.forms):
+    if firms:
         return 6.0 if name >= 0.88 else -9.0
-    weight += {"equal": 6.0, "near": 3.5, "differ": -4.0, "missing": 0.0}[parties.compare_cnic(a.cnic, b.cnic)]
-    weight += {"equal": 4.0, "close": 2.5, "partial": 2.0, "weak": -1.5, "differ": -4.0, "missing": 0.0}[parties.compare_dob(a.dobs, b.dobs)]
-    weight += {"equal": 3.0, "differ": -2.5, "missing": 0.0}[parties.compare_father(a.father, b.father)]
-    return weight
+    return weight + (3.0 if name >= 0.95 else 2.0 if name >= 0.88 else 1.0 if name >= 0.83 else 0.0 if name >= 0.78 else -1.5)
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def features(reps: DataFrame) -> DataFrame:
     """rep, its values, and its bucket keys; names that fold to nothing drop out."""
-    schema = "rep string, names array<string>, cnic string, dobs array<string>, father string, keys array<bigint>, partial array<bigint>, full boolean, stated boolean, firm boolean, name_keys array<string>, father_key string"
+    schema = "rep string, forms array<string>, cnic string, dobs array<string>, fathers array<string>, keys array<bigint>, partial array<bigint>, full boolean, stated boolean, firm boolean, name_keys array<string>, father_key string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,9 +153,11 @@ def features(reps: DataFrame) -> DataFrame:
                 p = parties.read_party(r.rep, r.names, r.cnic, r.dobs, r.father)
                 if p.forms:
                     keys, partial = block_keys(p)
+                    forms, fathers = parties.pack_party(p)
                     full = any(len(d) == 10 for d in p.dobs)
                     firm = any(f.firm for f in p.forms)
-                    out.append((r.rep, list(r.names), r.cnic, list(r.dobs), r.father, keys, partial, full, bool(p.cnic or p.dobs or p.father or firm), firm, name_keys(p), "".join(sorted(parties.phonetic(t) for t in p.father[0])) if p.father else ""))
+                    father_key = "".join(sorted(parties.phonetic(t) for t in p.father[0])) if p.father else ""
+                    out.append((r.rep, forms, p.cnic, p.dobs, fathers, keys, partial, full, bool(p.cnic or p.dobs or p.father or firm), firm, name_keys(p), father_key))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return reps.select("rep", "names", "cnic", "dobs", "father").mapInPandas(run, schema)
@@ -169,18 +175,19 @@ def candidates(feats: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, feats: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """(a, b, weight) of the candidates that are one identity."""
-    values = feats.select("rep", F.struct("names", "cnic", "dobs", "father").alias("v"))
+    values = feats.select("rep", F.struct("forms", "cnic", "dobs", "fathers").alias("v"))
     wide = pairs.join(values.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(values.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
-    flat = wide.select("a", "b", *[F.col(f"v{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("names", "cnic", "dobs", "father")])
+    # Two CNICs more than a slip apart can only be outweighed by an equal date of birth.
+    apart = (F.col("va.cnic") != "") & (F.col("vb.cnic") != "") & (F.levenshtein("va.cnic", "vb.cnic", 2) < 0)
+    wide = wide.filter(~apart | F.arrays_overlap("va.dobs", "vb.dobs"))
+    flat = wide.select("a", "b", *[F.col(f"v{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("forms", "cnic", "dobs", "fathers")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parties.use_nicknames(nicknames)
         for pdf in batches:
             keep = []
             for r in pdf.itertuples(index=False):
-                a = parties.read_party(r.a, r.names_a, r.cnic_a, r.dobs_a, r.father_a)
-                b = parties.read_party(r.b, r.names_b, r.cnic_b, r.dobs_b, r.father_b)
-                w = evidence(a, b)
+                w = evidence(parties.unpack_party(r.a, r.forms_a, r.cnic_a, r.dobs_a, r.fathers_a), parties.unpack_party(r.b, r.forms_b, r.cnic_b, r.dobs_b, r.fathers_b))
                 if w >= 5.0:
                     keep.append((r.a, r.b, w))
             yield pd.DataFrame(keep, columns=["a", "b", "weight"])

@@ -129,7 +129,7 @@ def nickname_pairs(forms: DataFrame, most: int = 20_000) -> frozenset[tuple[str,
     return frozenset(tuple(sorted((a[0], b[0]))) for a, b in pairs if len(a) == 1 and len(b) == 1 and a != b)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=200_000)
 def token_similarity(a: str, b: str) -> float:
     """0..1 for two name parts: spelling variants, initials, short forms cut from the front or the end, dropped vowels."""
     if a == b:
@@ -158,7 +158,7 @@ def token_similarity(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=200_000)
 def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Monge-Elkan: mean best token similarity, the shorter name weighing more; joined and split parts compared as one string."""
     if not a or not b:
@@ -302,3 +302,18 @@ def read_party(key: str, names, cnic: str, dobs, father: str) -> Party:
     fathers = [fold_name(father).tokens] if father else []
     fathers += [n.father for n in forms if n.father]
     return Party(key, forms, cnic or "", list(dobs), [f for f in dict.fromkeys(fathers) if f and f not in (("na",), ("n", "a"), ("unknown",), ("none",))])
+
+
+def pack_party(p: Party) -> tuple[list[str], list[str]]:
+    """Folded forms and fathers as texts, so that pairs are compared without folding again."""
+    return [f"{'F' if f.firm else 'P'}|{f.business}|{' '.join(f.tokens)}" for f in p.forms], [" ".join(f) for f in p.father]
+
+
+@lru_cache(maxsize=200_000)
+def _unpack(text: str) -> Name:
+    kind, business, tokens = text.split("|")
+    return Name(tuple(tokens.split(" ")), kind == "F", business, ())
+
+
+def unpack_party(key: str, forms, cnic: str, dobs, fathers) -> Party:
+    return Party(key, [_unpack(f) for f in forms], cnic, dobs, [tuple(f.split(" ")) for f in fathers])

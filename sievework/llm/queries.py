@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import linkage, lookalike, names, parties, survivorship
+from sievework.llm import linkage, lookalike, mixing, names, packing, parties, subjects, survivorship, tokens
 from sievework.plans import problems
 from sievework.session import reliable, table
 
@@ -77,7 +77,53 @@ def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(texts, lookalike.bigram_counts(texts, "text")).select("field_name", "row_key", "part", "clean_text", "changed").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_texts": p6_texts}
+def _sizes(spark: SparkSession, sf_dir: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """(doc_id, source, tokens) of all documents, tokenized once into a checkpoint."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.source_key(F.col("source")).alias("source"), "text")
+    return reliable(tokens.token_counts(docs, vocabulary))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, and of every part of one that exceeds the capacity."""
+    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each container holds."""
+    capacities = table(spark, sf_dir, "pack_capacities")
+    return packing.fills(packing.pack(_sizes(spark, sf_dir), capacities), capacities)
+
+
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each mix uses each document."""
+    return mixing.uses(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens that each source of a mix really gets."""
+    return mixing.shares(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy in the order of training."""
+    return mixing.training_order(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def _subject_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that each document really treats."""
+    return _subject_areas(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and share of the corpus by subject."""
+    return subjects.composition(_subject_areas(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_texts": p6_texts, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_uses": p8_uses, "p8_shares": p8_shares, "p8_order": p8_order, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _P5 = r"""
 WITH m AS (
