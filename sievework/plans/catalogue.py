@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sievework.plans import problems
+from sievework.plans import problems, reference, reference_sql
 
-FLAGSHIP = "p2_found"
-QUERIES = dict(problems.QUERIES)
-ORACLES = dict(problems.ORACLES)
+FLAGSHIP = "screen_applicants"
+QUERIES = problems.QUERIES | reference.QUERIES
+ORACLES = problems.ORACLES | reference_sql.ORACLES

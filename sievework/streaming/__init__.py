@@ -1 +1 @@
-
+"""Incremental re-screening and the streaming surface."""
