@@ -42,7 +42,8 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 
 
 STRONG = (1, bands_for(0.33, 0.95, 1))
-MEDIUM = (3, bands_for(0.5, 0.85, 3))
+# Weak values (parts of a date, a year, one word of a father) only decide where the names are nearly equal.
+MEDIUM = (5, bands_for(0.7, 0.9, 5))
 ALONE = (3, bands_for(0.5, 0.96, 3))
 HASHES = max(r * b for r, b in (STRONG, MEDIUM, ALONE))
 _RNG = np.random.default_rng(11)
@@ -166,9 +167,9 @@ def features(reps: DataFrame) -> DataFrame:
 def candidates(feats: DataFrame) -> DataFrame:
     """(a, b): pairs that share a bucket, each once, a < b."""
     strong = feats.select(F.col("rep"), F.explode("keys").alias("k"))
-    by_key = strong.select(F.col("rep").alias("a"), "k").join(strong.select(F.col("rep").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+    by_key = strong.select(F.col("rep").alias("a"), "k").join(strong.select(F.col("rep").alias("b"), "k").hint("merge"), "k").filter("a < b").select("a", "b")
     years = feats.select(F.col("rep"), "full", F.explode("partial").alias("k"))
-    loose = years.filter(~F.col("full")).select(F.col("rep").alias("x"), "k").join(years.select(F.col("rep").alias("y"), "k"), "k").filter("x <> y")
+    loose = years.filter(~F.col("full")).select(F.col("rep").alias("x"), "k").join(years.select(F.col("rep").alias("y"), "k").hint("merge"), "k").filter("x <> y")
     by_year = loose.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return by_key.unionByName(by_year).distinct()
 
@@ -176,7 +177,7 @@ def candidates(feats: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, feats: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """(a, b, weight) of the candidates that are one identity."""
     values = feats.select("rep", F.struct("forms", "cnic", "dobs", "fathers").alias("v"))
-    wide = pairs.join(values.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(values.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+    wide = pairs.join(values.select(F.col("rep").alias("a"), F.col("v").alias("va")).hint("merge"), "a").join(values.select(F.col("rep").alias("b"), F.col("v").alias("vb")).hint("merge"), "b")
     # Two CNICs more than a slip apart can only be outweighed by an equal date of birth.
     apart = (F.col("va.cnic") != "") & (F.col("vb.cnic") != "") & (F.levenshtein("va.cnic", "vb.cnic", 2) < 0)
     wide = wide.filter(~apart | F.arrays_overlap("va.dobs", "vb.dobs"))
@@ -222,12 +223,12 @@ def star_clusters(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
     degree = both.groupBy("x").agg(F.count("*").alias("n")).select(F.col("x").alias("y"), "n")
-    near = both.join(degree, "y").groupBy("x").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("y").alias("key"))).alias("best"), F.count("*").alias("own"))
+    near = both.join(degree.hint("merge"), "y").groupBy("x").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("y").alias("key"))).alias("best"), F.count("*").alias("own"))
     own = F.struct((-F.col("own")).alias("n"), F.col("x").alias("key"))
     points = reliable(near.select(F.col("x").alias("node"), F.least(own, F.col("best"))["key"].alias("centre")))
     while True:
         target = points.select(F.col("node").alias("centre"), F.col("centre").alias("next"))
-        doubled = points.join(target, "centre").select("node", F.col("next").alias("centre"), (F.col("next") != F.col("centre")).alias("moved"))
+        doubled = points.join(target.hint("merge"), "centre").select("node", F.col("next").alias("centre"), (F.col("next") != F.col("centre")).alias("moved"))
         points = reliable(doubled)
         if points.filter("moved").isEmpty():
             return points.drop("moved")
@@ -252,15 +253,15 @@ def link_names(records: DataFrame, people: DataFrame, dates: DataFrame, nickname
     attach = named.filter(~F.col("stated") & F.col("centre").isNull()).join(unique, "name_key").groupBy("rep").agg(F.min("found").alias("found"))
     final = placed.join(attach, "rep", "left").select("rep", F.coalesce("centre", "found").alias("cluster")).filter("cluster IS NOT NULL")
     values = ["kind", "names", "cnic", "dobs", "father"]
-    members = rows.join(reps, values).select("key", "kind", "rep")
-    return members.join(final, "rep").select("key", "kind", "cluster")
+    members = rows.join(reps.hint("merge"), values).select("key", "kind", "rep")
+    return members.join(final.hint("merge"), "rep").select("key", "kind", "cluster")
 
 
 def cluster_pairs(clusters: DataFrame) -> DataFrame:
     """(key_a, key_b): mentions of one identity, at least one of them an applicant."""
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.max((F.col("kind") == "A").cast("int")).alias("any_a")).filter("n > 1 AND any_a = 1")
-    live = clusters.join(size.select("cluster"), "cluster")
+    live = clusters.join(size.select("cluster").hint("merge"), "cluster")
     left = live.filter("kind = 'A'").select("cluster", F.col("key").alias("x"))
     right = live.select("cluster", F.col("key").alias("y"))
-    both = left.join(right, "cluster").filter("x <> y")
+    both = left.join(right.hint("merge"), "cluster").filter("x <> y")
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
