@@ -176,7 +176,7 @@ def red_book(texts: DataFrame, label: str = "FIA Red Book") -> DataFrame:
     rows = rows.withColumn("names", names).filter((F.size("names") > 0) & (F.length(raw) <= 120))
     printed = take(r"(?i)CNIC[^0-9]{0,20}([0-9]{5}-?[0-9]{7}-?[0-9])")
     ident = F.concat(F.lit("FIA-RB-"), F.coalesce(F.nullif(printed, F.lit("")), F.col("n").cast("string")))
-    remarks = joined([F.when(z != "", F.concat(F.lit(f"{n}: "), z)).otherwise("") for n, z in (("Zone", last(r"(?i)ZONE\s*:?\s*([^\n]+)")), ("FIR", last(r"(?i)FIR[^0-9\n]{0,12}([0-9]+/[0-9]{2,4})")))], "; ")
+    remarks = joined([F.when(z != "", F.concat(F.lit(f"{n}: "), z)).otherwise("") for n, z in (("Zone", last(r"(?i)ZONE\s*:?\s*([^\n]+?)\s*(?:\bFIR\b|\n|$)")), ("FIR", last(r"(?i)FIR[^0-9\n]{0,12}([0-9]+/[0-9]{2,4})")))], "; ")
     return _record(
         rows, list=F.lit(label), id=ident, primary_name=F.get(F.col("names"), 0), type=F.lit("Individual"), programs=F.col("title"), dob=take(r"(?i)(?:DOB|Date of Birth)\s*:?\s*([^\n]+)"),
         remarks=remarks, names=F.col("names"), source_key=F.lit("fia"), cnic=normalize_cnic(printed), father=take(r"(?i)(?:S/O|Father'?s? Name)\s*:?\s*([^\n]+)"),
