@@ -62,12 +62,12 @@ def test_red_book_and_news(spark):
 
 
 def test_pages(spark):
-    html = """<table><tr><th>No</th><th>Name</th><th>Constituency</th></tr><tr><td rowspan=2>1</td><td>Dr Ann [1] (late)</td><td>NA-1</td></tr><tr><td>Bob</td><td>NA-2</td></tr>
-    <tr><td>3</td><td>Vacant</td><td>NA-3</td></tr><tr><td>4</td><td>bob</td><td>NA-4</td></tr></table>"""
+    html = """<table><tr><th>No</th><th>Name</th><th>Constituency</th></tr><tr><td rowspan=2>1</td><td>Dr Ann [1] (late)</td><td>NA-1</td></tr><tr><td>Robert</td><td>NA-2</td></tr>
+    <tr><td>3</td><td>Vacant</td><td>NA-3</td></tr><tr><td>4</td><td>robert</td><td>NA-4</td></tr></table>"""
     df = spark.createDataFrame([("u", html), ("v", None)], "url string, text string")
-    assert sorted((r["name"], r["seat"]) for r in pages.table_members(df).collect()) == [("Bob", "NA-2"), ("Dr Ann", "NA-1")]
-    pairs = spark.createDataFrame([("u", "<p>Ann Lee | Party</p><p>PP-12 Town</p><script>x</script><b>Bo Ek</b> <i>PP-13</i>")], "url string, text string")
-    assert sorted((r["name"], r["seat"]) for r in pages.seat_pairs(pairs).collect()) == [("Ann Lee", "PP-12"), ("Bo Ek", "PP-13")]
+    assert sorted((r["name"], r["seat"]) for r in pages.table_members(df).collect()) == [("Dr Ann", "NA-1"), ("Robert", "NA-2")]
+    pairs = spark.createDataFrame([("u", "<p>Ann Lee | Party</p><p>PP-12 Town</p><script>x</script><b>Boris Ek</b> <i>PP-13</i>")], "url string, text string")
+    assert sorted((r["name"], r["seat"]) for r in pages.seat_pairs(pairs).collect()) == [("Ann Lee", "PP-12"), ("Boris Ek", "PP-13")]
     links = spark.createDataFrame([("u", '<a href="/x/book.pdf">Red Book 2</a><a href="http://evil.org/b.pdf">Red Book</a><a class="c" href="/members/9">Ann Lee PB-3 Place</a>')], "url string, text string")
     assert [tuple(r) for r in pages.editions(links, "example.org").collect()] == [("https://example.org/x/book.pdf", "Red Book 2")]
     assert [(r["name"], r["seat"]) for r in pages.card_members(links).collect()] == [("Ann Lee", "PB-3")]
