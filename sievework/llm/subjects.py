@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.tokens import source_key
 
-LABELLED = 6000
-VOCABULARY = 6000
+LABELLED = 4000
+VOCABULARY = 2500
 BEAM = 8
 MISSED = 0.25  # share of the true subjects that annotators are taken to leave out
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -91,7 +91,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, links: np.ndarray | None = None, decay: float = 2e-4, steps: int = 160) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, links: np.ndarray | None = None, decay: float = 2e-4, steps: int = 120) -> np.ndarray:
     """Weighted logistic regressions for all columns of y at once, by Adam with L2 decay; the last row is the intercepts.
 
     ``links`` marks the rows of the weights that a column may use (for a chain: the labels before it).
@@ -121,11 +121,23 @@ def _out_of_fold(x: np.ndarray, y: np.ndarray, weight: np.ndarray, folds: int, l
     return z
 
 
-def fit_chain(rows: list[dict[str, float]], labels: np.ndarray, subjects: list[str], folds: int = 4) -> dict:
-    """The chain: vocabulary, order, weights and calibration of each subject."""
+def telling(rows: list[dict[str, float]], labels: np.ndarray, most: int = VOCABULARY) -> list[str]:
+    """The features that say most about some subject: how far a subject's share among their documents is from its share overall, in standard errors."""
     spread = Counter(k for row in rows for k in row)
-    names = [k for k, n in sorted(spread.items(), key=lambda kv: (-kv[1], kv[0])) if n >= 3 or k[:2] == "s:"][:VOCABULARY]
-    index = {k: i for i, k in enumerate(names)}
+    often = {k: i for i, k in enumerate(sorted(k for k, n in spread.items() if n >= 2))}
+    hits = np.zeros((len(often), labels.shape[1]))
+    for row, y in zip(rows, labels):
+        hits[[often[k] for k in row if k in often]] += y
+    n = np.array([spread[k] for k in often], dtype=float)[:, None]
+    base = labels.mean(axis=0)
+    score = (np.abs(hits - n * base) / np.sqrt(n * base * (1 - base) + 0.5)).max(axis=1)
+    names = sorted(often, key=lambda k: (-score[often[k]], k))
+    return [k for k in names if k[:2] == "s:"] + [k for k in names if k[:2] != "s:"][:most]
+
+
+def fit_chain(rows: list[dict[str, float]], labels: np.ndarray, subjects: list[str], folds: int = 3) -> dict:
+    """The chain: vocabulary, order, weights and calibration of each subject."""
+    index = {k: i for i, k in enumerate(telling(rows, labels))}
     order = sorted(range(len(subjects)), key=lambda j: (-labels[:, j].sum(), j))
     y, size = labels[:, order], len(index)
     x = _matrix(rows, index)
