@@ -263,3 +263,30 @@ QUERIES = {
         person_groups, adverse_articles, news_hits, audit_chain, latency_percentiles, windowed_events, list_quality, quality_metrics,
     )
 }
+
+
+def prepared_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applicants that can be screened and those that cannot, with the reason."""
+    from sievework.sources import applicants
+
+    rows = applicants.prepared(_people(spark, sf_dir).select("id", "full_name").distinct())
+    return rows.groupBy("state", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"))
+
+
+def evidence_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and SHA-256 of every document's text."""
+    from sievework.sources import applicants
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return applicants.manifest(docs, "doc", F.col("text").cast("binary"))
+
+
+def monitored_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitored applicants with the matches found since they were last checked."""
+    a = _people(spark, sf_dir).filter("monitored").groupBy("id").agg(F.max("last_monitored_at").alias("last"))
+    m = _matches(spark, sf_dir).select("applicant_id", "match_id", "checked_at").distinct()
+    late = m.join(a, F.col("id") == F.col("applicant_id")).filter(F.col("checked_at") > F.col("last")).groupBy("id").agg(F.count("*").alias("open_alerts"))
+    return a.join(late, "id", "left").select("id", F.coalesce("open_alerts", F.lit(0)).alias("open_alerts"))
+
+
+QUERIES |= {f.__name__: f for f in (prepared_applicants, evidence_manifest, monitored_people)}

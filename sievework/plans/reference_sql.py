@@ -109,3 +109,11 @@ ORACLES = {
         FROM (SELECT id, list, array_to_string(list_sort(string_split(lower(trim(regexp_replace(primary_name, '\s+', ' ', 'g'))), ' ')), ' ') || '|' || coalesce(nullif(regexp_extract(coalesce(dob, ''), '([0-9]{4})', 1), ''), '') AS person
               FROM (SELECT DISTINCT id, list, primary_name, dob FROM list_records WHERE source_key = 'pep'))) WHERE k = 1""",
 }
+
+ORACLES |= {
+    "evidence_manifest": "SELECT CAST(doc_id AS VARCHAR) AS name, CAST(octet_length(encode(coalesce(text, ''))) AS INTEGER) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "monitored_people": """
+      WITH a AS (SELECT id, max(last_monitored_at) AS last FROM applicants WHERE monitored GROUP BY 1),
+      l AS (SELECT id, count(*) AS k FROM a JOIN (SELECT DISTINCT applicant_id, match_id, checked_at FROM matches) m ON m.applicant_id = a.id AND m.checked_at > a.last GROUP BY 1)
+      SELECT a.id, coalesce(k, 0) AS open_alerts FROM a LEFT JOIN l USING (id)""",
+}

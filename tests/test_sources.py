@@ -108,3 +108,53 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     q.awaitTermination()
     batch = monitor.windowed_counts(rows, "ts", "kind", "1 hour")
     assert spark.table("w").exceptAll(batch).count() == 0 and spark.table("w").count() == batch.count()
+
+
+def _zip(path, parts):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+
+
+def test_applicant_files(spark, tmp_path):
+    from sievework.sources import applicants
+
+    (tmp_path / "a.csv").write_bytes("Report\nName of Applicant;CNIC;Note\nJosé;35202-1234567-1;x\n;;\nحسن;;\n".encode("cp1256", "replace"))
+    _zip(tmp_path / "b.xlsx", {
+        "xl/sharedStrings.xml": "<sst><si><t>Full Name</t></si><si><t>Ann Lee</t></si></sst>",
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>CNIC</t></is></c></row>'
+        '<row r="4"><c r="A4" t="s"><v>1</v></c><c r="C4"><v>3520212345671.0</v></c></row></sheetData></worksheet>',
+    })
+    _zip(tmp_path / "c.docx", {"word/document.xml": "<d><tbl><tr><tc><p><t>Applicant</t></p></tc><tc><t>Province</t></tc></tr><tr><tc><t>Bo</t></tc><tc><t>KPK</t></tc></tr></tbl></d>"})
+    rows = applicants.read_applicants(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[-1]: (r["row_no"], r["full_name"], r["cnic"], r["province"]) for r in rows.filter("path NOT LIKE '%csv'").collect()}
+    assert got == {"b.xlsx": (4, "Ann Lee", "3520212345671", None), "c.docx": (2, "Bo", None, "KPK")}
+    assert [r["row_no"] for r in rows.filter("path LIKE '%csv'").collect()] == [3, 5]
+    names = spark.createDataFrame([(1, "Ann"), (2, None), (3, "x" * 300), (4, "Анна"), (5, "--")], "row_no int, full_name string")
+    assert {r["row_no"]: r["state"] for r in applicants.prepared(names).collect()} == {1: "pending", 2: "invalid", 3: "invalid", 4: "invalid", 5: "invalid"}
+
+
+def test_snapshot_of_officials(spark):
+    from sievework.sources import officials
+
+    people = [
+        ("1", "Ann Lee", ["A. Lee", "Ann Lee"], "1970-01-02T00:00:00Z", None, [("Senator", "2001", "2003-05-05"), ("Governor of Sindh", "2023", None), ("Dentist", None, None)]),
+        ("2", "Bo Ek", [], None, "2020-01-01", [("Senator", None, None)]), ("3", "Cy Old", [], None, None, [("Senator", "1990", "1995-01-01")]),
+    ]
+    pols = [("4", "Lee Ann", None, "P"), ("5", "Dee Poe", "1980", "P")]
+    mems = [("na", "House", "National", "", "url", "Dee Poe", None, "NA-1", ""), ("na", "House", "National", "", "url", "Eve Fay", None, "NA-2", "Q")]
+    got = officials.snapshot_records(spark.createDataFrame(people, officials.PEOPLE), spark.createDataFrame(pols, officials.POLITICIANS), spark.createDataFrame(mems, officials.MEMBERS), "2024-01-01", 5)
+    rows = {r["id"]: r for r in got.collect()}
+    assert set(rows) == {"PEP-WD-1", "PEP-WD-5", "PEP-ASM-na-EveFay"}
+    assert (rows["PEP-WD-1"]["pep_level"], rows["PEP-WD-1"]["province"], rows["PEP-WD-1"]["position"], rows["PEP-WD-1"]["names"]) == ("Provincial", "Sindh", "Governor of Sindh (from 2023)", ["Ann Lee", "A. Lee"])
+    assert rows["PEP-ASM-na-EveFay"]["position"] == "Member, House (NA-2, Q)" and rows["PEP-WD-5"]["pep_level"] == "Political"
+
+
+def test_functions_in_sql(spark):
+    from sievework.functions.register import register
+
+    assert "name_score" in register(spark)
+    row = spark.sql("SELECT name_score('Mohammed Ali', 'Muhammad Ali') s, name_reason('M Ali', 'Muhammad Ali') r, name_tokens('Dr Mohd') t").first()
+    assert (row["s"], row["r"], row["t"]) == (100.0, "initials", ["MUHAMAD"])
