@@ -77,7 +77,7 @@ EMPTY = Name((), False, "", ())
 
 @lru_cache(maxsize=50_000)
 def fold_name(text: str) -> Name:
-    """The parts of a name: its tokens, whether it is a firm, the initials of its business words, and a father named in it."""
+    """The parts of a name: its tokens, whether it is a firm, the codes of its business words, and a father named in it."""
     s = re.sub(r"\bm\s*/\s*s\b", " ", _latin(text or "")).replace("&", " and ").replace("+", " and ")
     father: tuple[str, ...] = ()
     if hit := _RELATION.search(s):
@@ -93,17 +93,16 @@ def fold_name(text: str) -> Name:
     if not firm and len(raw) >= 3 and re.search(r"\b[A-Z]{2,5}\s*$", strip_forms(text)) and not text.isupper():
         firm, words = True, []
     if firm:
-        core, initials = [], ""
+        core, codes = [], []
         for t, b in zip(raw, business):
             if b:
-                initials += b[0]
+                if b != "and":
+                    codes.append(b[:3])
             elif t != "the":
                 core.append(t)
-        if not initials and core and len(core) > 2:
-            initials, core = core[-1], core[:-1]
-        elif len(core) > 2 and core[-1] in capitals:
-            initials, core = core[-1] + initials, core[:-1]
-        return Name(tuple(core), True, initials, ())
+        if len(core) > 2 and (not codes or core[-1] in capitals):
+            codes, core = [*core[-1], *codes], core[:-1]
+        return Name(tuple(core), True, " ".join(codes), ())
     tokens = [t for t in raw if t not in TITLES] or raw
     return Name(tuple(tokens), False, "", father)
 
@@ -180,15 +179,24 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 
 
 def business_agree(a: str, b: str) -> str:
-    """equal, open (one says nothing or stops earlier) or differ, for the initials of business words."""
+    """equal, open (one says nothing or stops earlier, or only the legal form differs) or differ, for codes of business words.
+
+    A code is the start of a word, or one letter of an acronym; the shorter of two codes decides.
+    """
     if a == b:
         return "equal"
-    a, b = a.replace("a", "") if a[:1] != "a" else a, b.replace("a", "") if b[:1] != "a" else b
-    if not a or not b or a.startswith(b) or b.startswith(a):
-        return "open"
-    if len(a) > 2 and len(b) > 2 and a[:2] == b[:2]:
-        return "open"
-    return "differ"
+    x, y = a.split(), b.split()
+    if ("imp" in x) != ("imp" in y):
+        # The acronym of "import and export" counts the "and".
+        x, y = ([c for c in z if c != "a"] if "imp" not in z else z for z in (x, y))
+    same = 0
+    for p, q in zip(x, y):
+        if p[: len(q)] != q[: len(p)]:
+            break
+        same += 1
+    if same == min(len(x), len(y)):
+        return "equal" if len(x) == len(y) else "open"
+    return "open" if same >= 2 else "differ"
 
 
 def name_score(forms_a: list[Name], forms_b: list[Name]) -> float:
@@ -203,6 +211,11 @@ def name_score(forms_a: list[Name], forms_b: list[Name]) -> float:
                 lone = x.tokens[0] if len(x.tokens) == 1 else y.tokens[0]
                 if len(lone) < 10 and max(len(f.tokens) for f in (*forms_a, *forms_b)) > 1:
                     s = min(s, 0.8)  # a short name alone is borne by many
+            if x.firm and s > 0.8:
+                short, long_ = (x.tokens, y.tokens) if len(x.tokens) <= len(y.tokens) else (y.tokens, x.tokens)
+                joined = jaro_winkler(phonetic("".join(short)), phonetic("".join(long_)))
+                if joined < 0.93 and min(max(token_similarity(t, u) for u in long_) for t in short) < 0.84:
+                    s = 0.8  # one word of a firm's name differs; the other is often just its town
             if x.firm and s > 0:
                 s -= {"equal": 0.0, "open": 0.02, "differ": 0.3}[business_agree(x.business, y.business)]
             best = max(best, s)
