@@ -50,7 +50,7 @@ def _latin(text: str) -> str:
 
 def phonetic(token: str) -> str:
     """A token under the spelling habits that typed names vary in: doubled letters, vowels, q/k/c, w/v, ph/f and dropped h."""
-    t = token
+    t = re.sub(r"([^aeiou])\1+", r"\1", token)
     for a, b in (("ph", "f"), ("gh", "g"), ("dh", "z"), ("zh", "z"), ("kh", "k"), ("ch", "c"), ("sh", "s"), ("th", "t"), ("x", "ks")):
         t = t.replace(a, b)
     t = t.replace("q", "k").replace("w", "v").replace("ee", "i").replace("ei", "i").replace("ie", "i").replace("oo", "u").replace("ou", "u").replace("uo", "u").replace("y", "i").replace("o", "u")
@@ -214,7 +214,7 @@ def name_score(forms_a: list[Name], forms_b: list[Name]) -> float:
             if x.firm and s > 0.8:
                 short, long_ = (x.tokens, y.tokens) if len(x.tokens) <= len(y.tokens) else (y.tokens, x.tokens)
                 joined = jaro_winkler(phonetic("".join(short)), phonetic("".join(long_)))
-                if joined < 0.93 and min(max(token_similarity(t, u) for u in long_) for t in short) < 0.84:
+                if joined < 0.93 and min(max(token_similarity(t, u) for u in long_) for t in short) < 0.81:
                     s = 0.8  # one word of a firm's name differs; the other is often just its town
             if x.firm and s > 0:
                 s -= {"equal": 0.0, "open": 0.02, "differ": 0.3}[business_agree(x.business, y.business)]
