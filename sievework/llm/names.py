@@ -6,7 +6,7 @@
    identifying value (half of a CNIC, a date of birth, a father's name), so a
    bucket holds only mentions that resemble in name and share a value: a name
    that a third of all rows bear makes no large bucket. Firms have no such
-   values and use bands alone. ``bands_for`` takes the number of bands from the
+   values; their bands are joined with the first letter of a business word. ``bands_for`` takes the number of bands from the
    collision curve 1 - (1 - s^r)^b for the recall wanted at similarity s.
 3. Candidates are verified by Monge-Elkan similarity, then by an exact check of
    CNIC, date of birth and father, where one value may be mistyped.
@@ -107,7 +107,8 @@ def block_keys(p: parties.Party) -> tuple[list[int], list[int]]:
     for form in p.forms:
         sig = signature(qgrams(form.tokens))
         if form.firm:
-            keys |= _keys(sig, *ALONE, ["firm"])
+            # Firms often share a town; the first letters of what they do keep them apart.
+            keys |= _keys(sig, *ALONE, sorted({f"firm{c[0]}" for c in form.business.split()[:2]} or {"firm"}))
         else:
             keys |= _keys(sig, *STRONG, strong) | _keys(sig, *MEDIUM, medium)
             partial |= _keys(sig, *MEDIUM, [f"y{y}" for y in years])
