@@ -42,8 +42,9 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 
 
 STRONG = (1, bands_for(0.33, 0.95, 1))
-# Weak values (parts of a date, a year, one word of a father) only decide where the names are nearly equal.
-MEDIUM = (5, bands_for(0.7, 0.9, 5))
+# One weak value (part of a date, a year, one word of a father) decides only at a name score of 0.88. Where a part of the
+# date and a father's word both agree, ``evidence`` takes names from 0.78, so the two together count as a strong value.
+MEDIUM = (3, bands_for(0.5, 0.85, 3))
 ALONE = (3, bands_for(0.5, 0.96, 3))
 HASHES = max(r * b for r, b in (STRONG, MEDIUM, ALONE))
 _RNG = np.random.default_rng(11)
@@ -76,11 +77,12 @@ def _keys(sig: np.ndarray, rows: int, bands: int, values: list[str]) -> set[int]
     return out
 
 
-def values_of(p: parties.Party) -> tuple[list[str], list[str], list[str]]:
-    """Identifying values of a party: strong ones, medium ones, and the years in which it may have been born."""
+def values_of(p: parties.Party) -> tuple[list[str], list[str], list[str], list[str]]:
+    """Identifying values of a party: strong ones, medium ones, the years in which it may have been born, and words of its father."""
     strong, medium, years = [], [], set()
     if p.cnic:
-        strong += [f"c1{p.cnic[:7]}", f"c2{p.cnic[6:]}"]
+        # The last two are for a slip or a swap in the middle, which spoils both halves.
+        strong += [f"c1{p.cnic[:7]}", f"c2{p.cnic[6:]}", f"c3{p.cnic[:5]}{p.cnic[7:]}", f"c4{p.cnic[:6]}{p.cnic[8:]}"]
     for d in p.dobs:
         if "/" in d:
             years.update(str(y) for y in range(int(d[:4]), min(int(d[5:9]), int(d[:4]) + 12) + 1))
@@ -94,14 +96,14 @@ def values_of(p: parties.Party) -> tuple[list[str], list[str], list[str]]:
                 strong.append(f"d{y}-{day}-{m}")
     for f in p.father:
         strong.append("f" + "".join(sorted(parties.phonetic(t) for t in f)))
-        if len(f) > 1:
-            medium += [f"ff{parties.bones(t)}" for t in f]
-    return strong, medium, sorted(years)
+    dates, words = list(medium), sorted({f"ff{parties.bones(t)}" for f in p.father for t in f})
+    strong += [f"{d}|{w}" for d in dates for w in words]
+    return strong, medium + words, sorted(years), words
 
 
 def block_keys(p: parties.Party) -> tuple[list[int], list[int]]:
     """Bucket keys of a party, and those that only pair it with parties of which no full date is known."""
-    strong, medium, years = values_of(p)
+    strong, medium, years, words = values_of(p)
     keys: set[int] = set()
     partial: set[int] = set()
     for form in p.forms:
@@ -111,7 +113,7 @@ def block_keys(p: parties.Party) -> tuple[list[int], list[int]]:
             keys |= _keys(sig, *ALONE, sorted({f"firm{c[0]}" for c in form.business.split()[:2]} or {"firm"}))
         else:
             keys |= _keys(sig, *STRONG, strong) | _keys(sig, *MEDIUM, medium)
-            partial |= _keys(sig, *MEDIUM, [f"y{y}" for y in years])
+            partial |= _keys(sig, *MEDIUM, [f"y{y}" for y in years]) | _keys(sig, *STRONG, [f"y{y}|{w}" for y in years for w in words])
     return sorted(keys), sorted(partial)
 
 

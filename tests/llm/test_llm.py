@@ -59,6 +59,24 @@ def test_linking_typed_names(spark):
     assert names.cluster_pairs(none).count() == 0
 
 
+def test_candidates_hold_what_evidence_accepts():
+    rng, people = random.Random(21), []
+    part = lambda: "".join(rng.choice("b d f g k l m n p r s t v z".split()) + rng.choice("aiu") for _ in range(3))
+    slip = lambda t: t[: (i := rng.randrange(1, len(t)))] + rng.choice("bdfgklmnprstvz") + t[i + 1 :]
+    for k in range(300):
+        tokens_, day, father = [part(), part(), part()], f"19{rng.randint(40, 99)}-0{rng.randint(1, 9)}-{rng.randint(13, 28)}", [part(), part()]
+        cnic = f"9{rng.randint(0, 10**12 - 1):012d}"
+        people.append(parties.read_party(f"a{k}", [" ".join(tokens_)], "" if k % 3 else cnic, [day], " ".join(father)))
+        near = cnic[:6] + str((int(cnic[6]) + 1) % 10) + cnic[7:]
+        dobs = [] if k % 3 == 0 else [day[:4]] if k % 2 else [f"{int(day[:4]) + 1}{day[4:]}"]
+        people.append(parties.read_party(f"b{k}", [" ".join([slip(tokens_[0]), slip(tokens_[1]), slip(tokens_[2])])], "" if k % 3 else near, dobs, "" if k % 3 == 0 else father[0]))
+    keys = [tuple(map(set, names.block_keys(p))) for p in people]
+    full = [any(len(d) == 10 for d in p.dobs) for p in people]
+    true = [(i, j) for i in range(600) for j in range(i) if names.evidence(people[i], people[j]) >= 5]
+    met = [(i, j) for i, j in true if keys[i][0] & keys[j][0] or (keys[i][1] & keys[j][1] and not (full[i] and full[j]))]
+    assert len(true) > 120 and len(met) >= 0.97 * len(true)
+
+
 def test_stars_end_in_centres(spark):
     links = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("a", "b")]
     got = {r["node"]: r["centre"] for r in names.star_clusters(spark.createDataFrame(links, "a string, b string")).collect()}
