@@ -212,12 +212,13 @@ def adverse_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with an adverse word and the applicant's surname plus one more name part."""
+    """Articles with an adverse word and the applicant's surname plus one more name part, each in any spelling at Jaro-Winkler 0.92."""
     a = _people(spark, sf_dir).groupBy(F.col("id").alias("applicant_id")).agg(F.max("full_name").alias("full_name")).filter("full_name IS NOT NULL")
     n = table(spark, sf_dir, "articles").select("article_id", "applicant_id", "title").distinct().filter(verdict.adverse_word(F.col("title")).isNotNull())
-    rows = n.join(a, "applicant_id").select("article_id", text.raw_tokens(F.col("full_name")).alias("need"), text.raw_tokens(F.col("title")).alias("have"))
-    hit = F.array_contains("have", F.element_at("need", -1)) & (F.size(F.array_intersect("need", "have")) >= F.least(F.lit(2), F.size(F.array_distinct("need"))))
-    return rows.filter(F.size("need") > 0).filter(hit).select("article_id")
+    need = matching.folded(a, ["applicant_id"], "full_name").withColumnRenamed("toks", "need")
+    have = matching.folded(n.select("title").distinct(), ["title"], "title").withColumnRenamed("toks", "have")
+    rows = n.join(need, "applicant_id").join(have, "title")
+    return rows.filter(matching.names_person(F.col("need"), F.col("have"))).select("article_id")
 
 
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,27 @@ def test_screening_equals_the_full_scan(spark):
     assert found == expected and len(found) > 10
 
 
+def test_news_hits_allow_spellings(spark, tmp_path):
+    from sievework.plans import reference
+
+    people = [(1, "Imran Petrovich Mahmood"), (2, "Oleksandrov"), (3, None), (4, "")]
+    titles = [
+        "Imran Petrovitch Mahmoud arrested", "Mahmood, Petrovich held for fraud", "Oleksandrof arrested", "Imran Petrovich arrested", "Imran Mahmood opens school", "Mahmood arrested", None, "arrested",
+        "Muhammad Imran Mehmood arrested in Karachi", "Mahmood Ímran: corruption",
+    ]
+    rows = [(100 * a + i, a, t) for a in (1, 2, 3, 4) for i, t in enumerate(titles)]
+    spark.createDataFrame(people, "id long, full_name string").write.parquet(f"{tmp_path}/applicants.parquet")
+    spark.createDataFrame(rows + rows[:3], "article_id long, applicant_id long, title string").write.parquet(f"{tmp_path}/articles.parquet")
+    expected = []
+    for article, app, title in rows:
+        need, have = text.tokens_text(dict(people)[app]), text.tokens_text(title)
+        hit = [q for q in need if any(jaro_winkler(q, h) >= 0.92 for h in have)]
+        if title and "school" not in title and need and need[-1] in hit and len(hit) >= min(2, len(need)):
+            expected.append(article)
+    assert sorted(r[0] for r in reference.news_hits(spark, str(tmp_path)).collect()) == sorted(expected)
+    assert {101, 108, 109, 202} <= set(expected)
+
+
 def test_scoring_rules():
     s = lambda a, b: matching.score(text.tokens_text(a), text.tokens_text(b))
     assert s("Ali Raza", "Syed Ali Raza")[0] == 100.0
