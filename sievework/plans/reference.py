@@ -21,11 +21,14 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screen_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every applicant against every list name, at threshold 85: the whole matching core."""
-    people = _people(spark, sf_dir).filter("full_name IS NOT NULL").groupBy("id").agg(F.max("full_name").alias("full_name")).select(F.col("id").alias("app"), "full_name")
-    records = table(spark, sf_dir, "list_records").groupBy("id").agg(F.max(F.struct("names", "type")).alias("r"))
+    """Every applicant against every list name at the applicant's own threshold, and every record of its CNIC: the whole matching core."""
+    one = F.max(F.struct("full_name", scalars.resolve_threshold(F.col("threshold")).alias("least"), scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("p")
+    people = _people(spark, sf_dir).filter("full_name IS NOT NULL").groupBy(F.col("id").alias("app")).agg(one).select("app", "p.*")
+    records = table(spark, sf_dir, "list_records").groupBy("id").agg(F.max(F.struct("names", "type", scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("r"))
     names = records.select(F.col("id").alias("rec"), F.posexplode("r.names").alias("name_ord", "name"), (F.lower("r.type") == "entity").alias("is_entity")).filter("name IS NOT NULL")
-    return matching.screen(people, names)
+    numbers = records.select(F.col("id").alias("rec"), "r.cnic")
+    same = people.filter("cnic <> ''").select("app", "cnic").join(numbers.filter("cnic <> ''"), "cnic").select("app", "rec")
+    return matching.screen(people.drop("cnic"), names, same=same)
 
 
 def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,30 @@ def test_screening_equals_the_full_scan(spark):
     assert found == expected and len(found) > 10
 
 
+def test_screening_at_own_thresholds_and_by_number(spark, tmp_path):
+    from sievework.plans import reference
+
+    rng = random.Random(12)
+    base = "MUHAMMAD ALI KHAN SYED IMRAN RAZA PETROV ALEXEI SERGEI IVANOV MALIK SHAH NAWAZ B K SAIFULLAH ABDURRAHMAN".split()
+    name = lambda: " ".join(p if rng.random() < 0.7 or len(p) < 4 else p[:2] + p[3:] for p in rng.sample(base, rng.randint(1, 4)))
+    number = lambda i: f"90000-00012{i % 50:02d}-5" if i % 3 else None
+    people = [(i, name(), number(i), (60.0, 80.0, 90.0, None, 20.0)[i % 5]) for i in range(40)] + [(90, None, number(1), 80.0), (91, "", number(2), 80.0), (92, "Qwxyz", number(4), 80.0)]
+    records = [(f"r{i}", [name(), name()] if i % 7 else [None, name()], "Entity" if i % 9 == 0 else "Individual", number(i)) for i in range(80)] + [("bare", [], None, number(4))]
+    spark.createDataFrame(people + people[:2], "id long, full_name string, cnic string, threshold double").write.parquet(f"{tmp_path}/applicants.parquet")
+    spark.createDataFrame(records, "id string, names array<string>, type string, cnic string").write.parquet(f"{tmp_path}/list_records.parquet")
+    got = reference.screen_applicants(spark, str(tmp_path)).collect()
+    expected = {}
+    for app, full, cnic, t in people:
+        q = text.tokens_text(full)
+        for rec, listed, kind, other in records:
+            each = [(matching.score(q, (text.entity_tokens_text if kind == "Entity" else text.tokens_text)(n)), -k) for k, n in enumerate(listed)]
+            (s, why), k = max(each, key=lambda x: (x[0][0], x[1]), default=((0.0, ""), 0))
+            if q and (s >= (t if t and t >= 50 else 85.0) or (cnic and cnic == other)):
+                expected[app, rec] = (s, -k, why) if s > 0 else (0.0, 0, "")
+    assert {(r["app"], r["rec"]): (r["score"], r["name_ord"], r["reason"]) for r in got} == expected and len(got) == len(expected)
+    assert (92, "bare") in expected and {80 <= s < 85 for s, _, _ in expected.values()} == {True, False}
+
+
 def test_news_hits_allow_spellings(spark, tmp_path):
     from sievework.plans import reference
 
