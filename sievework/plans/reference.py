@@ -32,9 +32,10 @@ def screen_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token postings of primary names: in how many records each raw token stands."""
-    rows = table(spark, sf_dir, "list_records").select("id", F.explode(text.raw_tokens(F.col("primary_name"))).alias("token"))
-    return rows.groupBy("token").agg(F.count_distinct("id").alias("records"))
+    """Token postings of all names: in how many records each folded token stands; firms without their legal form."""
+    rows = table(spark, sf_dir, "list_records").filter("id IS NOT NULL").select("id", F.explode("names").alias("name"), F.coalesce(F.lower(F.trim("type")) == "entity", F.lit(False)).alias("is_entity"))
+    toks = matching.folded(rows.filter("name IS NOT NULL").distinct(), ["id", "name"], "name", "is_entity")
+    return toks.select("id", F.explode("toks").alias("token")).groupBy("token").agg(F.count_distinct("id").alias("records"))
 
 
 def norm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +187,18 @@ def pep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("person", F.col("b.id").alias("id"), "copies")
 
 
+def pep_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Office holders merged as in ``pep_merge``, but by the folded tokens of the name, so that spellings the folding unites are one person."""
+    order = F.element_at(F.create_map(*[F.lit(x) for p in _PEP_ORDER.items() for x in p]), F.col("list"))
+    rows = table(spark, sf_dir, "list_records").filter("source_key = 'pep'").select("id", "list", "primary_name", "dob").distinct()
+    toks = matching.folded(rows.select("primary_name").filter("primary_name IS NOT NULL").distinct(), ["primary_name"], "primary_name")
+    named = rows.join(toks, "primary_name", "left")
+    tokens = F.coalesce(F.array_join(F.array_sort("toks"), " "), F.lit(""))
+    key = F.concat_ws("|", tokens, F.coalesce(scalars.first_year(F.col("dob")), F.lit("")))
+    best = named.groupBy(key.alias("person")).agg(F.min(F.struct(F.coalesce(order, F.lit(9)).alias("o"), "id")).alias("b"), F.count("*").alias("copies"))
+    return best.select("person", F.col("b.id").alias("id"), "copies")
+
+
 _PEP_ORDER = {"PEP admin upload": 1, "PEP assembly rosters": 2, "PEP knowledge base": 3, "PEP scratch import": 4}
 
 
@@ -263,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         screen_applicants, token_postings, norm_names, cnic_numbers, cnic_matches, provinces, thresholds, evidence, top_matches, best_per_record, coverage, source_rollup, case_verdicts,
-        snapshot_fingerprints, content_marks, change_detect, new_alerts, baseline_refs, batch_rollup, history_page, case_refs, guarded_export, pep_merge, position_levels, classified_positions,
+        snapshot_fingerprints, content_marks, change_detect, new_alerts, baseline_refs, batch_rollup, history_page, case_refs, guarded_export, pep_merge, pep_persons, position_levels, classified_positions,
         person_groups, adverse_articles, news_hits, audit_chain, latency_percentiles, windowed_events, list_quality, quality_metrics,
     )
 }

@@ -201,6 +201,23 @@ def test_screening_at_own_thresholds_and_by_number(spark, tmp_path):
     assert (92, "bare") in expected and {80 <= s < 85 for s, _, _ in expected.values()} == {True, False}
 
 
+def test_folded_postings_and_office_holders(spark, tmp_path):
+    from sievework.plans import reference
+
+    names = ["Dr. Muhammad Alí Khan", "KHAN, Mohammed Ali", "Imran Raza", None]
+    records = [(f"p{i}", ("PEP knowledge base", "PEP admin upload")[i % 2], n, [n, "Abdul Rahman"] if i else [n], None, "pep", "1970-01-02") for i, n in enumerate(names)]
+    records += [("e1", "L", "Baldor Trading Ltd.", ["Baldor Trading Ltd."], "Entity", "x", None), ("e2", "L", "Z", None, None, "x", None)]
+    spark.createDataFrame(records, "id string, list string, primary_name string, names array<string>, type string, source_key string, dob string").write.parquet(f"{tmp_path}/list_records.parquet")
+    expected = {}
+    for r in records:
+        for n in r[3] or []:
+            for t in (text.entity_tokens_text if r[4] == "Entity" else text.tokens_text)(n):
+                expected.setdefault(t, set()).add(r[0])
+    assert {r["token"]: r["records"] for r in reference.token_postings(spark, str(tmp_path)).collect()} == {t: len(ids) for t, ids in expected.items()}
+    merged = {r["id"]: (r["person"], r["copies"]) for r in reference.pep_persons(spark, str(tmp_path)).collect()}
+    assert merged["p1"] == (" ".join(sorted(text.tokens_text(names[0]))) + "|1970", 2) and set(merged) == {"p1", "p2", "p3"}
+
+
 def test_news_hits_allow_spellings(spark, tmp_path):
     from sievework.plans import reference
 
