@@ -5,14 +5,21 @@
 2. MinHash over padded q-grams of the folded names. A band is joined with an
    identifying value (half of a CNIC, a date of birth, a father's name), so a
    bucket holds only mentions that resemble in name and share a value: a name
-   that a third of all rows bear makes no large bucket. Firms have no such
-   values; their bands are joined with the first letter of a business word. ``bands_for`` takes the number of bands from the
-   collision curve 1 - (1 - s^r)^b for the recall wanted at similarity s.
-3. Candidates are verified by Monge-Elkan similarity, then by an exact check of
-   CNIC, date of birth and father, where one value may be mistyped.
-4. Star clustering of the links: centres are the mentions with most links.
-   Mentions that state nothing but a name join a star only if all mentions of
-   that name that do state something are in that one star.
+   that a third of all rows bear makes no large bucket, and one that is large
+   all the same is cut into parts (``blocks``). Firms have no such values; their
+   bands are joined with the first letter of a business word. ``bands_for`` takes
+   the number of bands from the collision curve 1 - (1 - s^r)^b for the recall
+   wanted at similarity s.
+3. Candidates are verified by Monge-Elkan similarity together with an exact check
+   of CNIC, date of birth and father, where one value may be mistyped. What the
+   values say is computed in the JVM and rules out most candidates; the rest are
+   compared by name in Arrow batches. Mentions of one exact folded name whose
+   bearers nowhere contradict each other are candidates too, and that agreement
+   counts as evidence.
+4. Star clustering of the links: a centre is better linked than all neighbours
+   not yet placed, and its satellites are neighbours of it. Mentions that state
+   nothing but a name join a star only if all mentions of that name that do state
+   something are in that one star. A link between two stars stays a link.
 
 Cases. Null or empty names have no mention in any pair. Null and '' values are
 missing, never equal. Rows repeated under one id are one mention. Ties go to
@@ -24,13 +31,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm import parties
+from sievework.llm import blocks, parties
 from sievework.session import reliable
 
 Q = 3
@@ -61,6 +69,12 @@ def qgrams(tokens: tuple[str, ...], q: int = Q) -> list[str]:
     return sorted(out)
 
 
+@lru_cache(maxsize=40_000)
+def _token_signature(token: str) -> np.ndarray:
+    """MinHash values of the q-grams of one token; those of a name are the least of its tokens'."""
+    return signature(qgrams((token,)))
+
+
 def signature(grams: list[str]) -> np.ndarray:
     """MinHash values of a set of q-grams."""
     h = np.fromiter((zlib.crc32(g.encode()) for g in grams), dtype=np.uint64, count=len(grams))
@@ -68,15 +82,21 @@ def signature(grams: list[str]) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(32))) * _A[None, ::-1] >> np.uint64(20)).min(axis=0)
 
 
-def _keys(sig: np.ndarray, rows: int, bands: int, values: list[str]) -> set[int]:
-    out = set()
-    for value in values:
-        salt = zlib.crc32(value.encode()) << 32
-        for b in range(bands):
-            out.add((salt ^ zlib.crc32(sig[b * rows : (b + 1) * rows].tobytes() + bytes((b,)))) - (1 << 63))
+def _bands(sigs: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """One hash for each band of each signature."""
+    cut = sigs[:, : rows * bands].reshape(len(sigs), bands, rows)
+    out = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _A[1] * np.ones((len(sigs), 1), dtype=np.uint64)
+    for r in range(rows):
+        out = (out ^ cut[:, :, r]) * _A[0]
+        out ^= out >> np.uint64(29)
     return out
 
 
+@lru_cache(maxsize=40_000)
+def _value_hash(value: str) -> int:
+    return zlib.crc32(value.encode()) << 32 | zlib.crc32(value[::-1].encode() + b"~")
+
+
 def values_of(p: parties.Party) -> tuple[list[str], list[str], list[str], list[str]]:
     """Identifying values of a party: strong ones, medium ones, the years in which it may have been born, and words of its father."""
     strong, medium, years = [], [], set()
@@ -101,20 +121,45 @@ def values_of(p: parties.Party) -> tuple[list[str], list[str], list[str], list[s
     return strong, medium + words, sorted(years), words
 
 
+def block_keys_many(ps: list[parties.Party]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each party its bucket keys, and those that only pair it with parties of which no full date is known."""
+    sigs: list[np.ndarray] = []
+    asked: dict[tuple[int, int], list[tuple[int, int, int]]] = {STRONG: [], MEDIUM: [], ALONE: []}
+    for i, p in enumerate(ps):
+        strong, medium, years, words = values_of(p)
+        for form in p.forms:
+            at = len(sigs)
+            sigs.append(np.minimum.reduce([_token_signature(t) for t in form.tokens]))
+            if form.firm:
+                # Firms often share a town; the first letters of what they do keep them apart.
+                asked[ALONE] += [(2 * i, at, _value_hash(f"firm{c[0]}")) for c in form.business.split()[:2]] or [(2 * i, at, _value_hash("firm"))]
+                continue
+            asked[STRONG] += [(2 * i, at, _value_hash(v)) for v in strong]
+            asked[MEDIUM] += [(2 * i, at, _value_hash(v)) for v in medium]
+            asked[MEDIUM] += [(2 * i + 1, at, _value_hash(f"y{y}")) for y in years]
+            asked[STRONG] += [(2 * i + 1, at, _value_hash(f"y{y}|{w}")) for y in years for w in words]
+    owners, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    every = np.array(sigs, dtype=np.uint64).reshape(-1, HASHES)
+    for (rows, bands), wanted in asked.items():
+        if wanted:
+            owner, at, value = (np.array(x, dtype=kind) for x, kind in zip(zip(*wanted), (np.int64, np.int64, np.uint64)))
+            made = (_bands(every, rows, bands)[at] ^ value[:, None]) * _A[2]
+            owners.append(np.repeat(owner, bands))
+            keys.append((made ^ (made >> np.uint64(31))).view(np.int64).ravel())
+    owner, key = np.concatenate(owners), np.concatenate(keys)
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    owner, key = owner[new], key[new]
+    parts = np.split(key, np.searchsorted(owner, np.arange(1, 2 * len(ps))))
+    return [(parts[2 * i], parts[2 * i + 1]) for i in range(len(ps))]
+
+
 def block_keys(p: parties.Party) -> tuple[list[int], list[int]]:
-    """Bucket keys of a party, and those that only pair it with parties of which no full date is known."""
-    strong, medium, years, words = values_of(p)
-    keys: set[int] = set()
-    partial: set[int] = set()
-    for form in p.forms:
-        sig = signature(qgrams(form.tokens))
-        if form.firm:
-            # Firms often share a town; the first letters of what they do keep them apart.
-            keys |= _keys(sig, *ALONE, sorted({f"firm{c[0]}" for c in form.business.split()[:2]} or {"firm"}))
-        else:
-            keys |= _keys(sig, *STRONG, strong) | _keys(sig, *MEDIUM, medium)
-            partial |= _keys(sig, *MEDIUM, [f"y{y}" for y in years]) | _keys(sig, *STRONG, [f"y{y}|{w}" for y in years for w in words])
-    return sorted(keys), sorted(partial)
+    """``block_keys_many`` of one party."""
+    keys, partial = block_keys_many([p])[0]
+    return keys.tolist(), partial.tolist()
 
 
 def name_keys(p: parties.Party) -> list[str]:
@@ -122,22 +167,61 @@ def name_keys(p: parties.Party) -> list[str]:
     return sorted({("F:" + f.business if f.firm else "P:") + " ".join(sorted(parties.phonetic(t) for t in f.tokens)) for f in p.forms if len(f.tokens) > 1 and all(len(t) > 1 for t in f.tokens)})
 
 
-def evidence(a: parties.Party, b: parties.Party) -> float:
-    """Weight for one identity: Monge-Elkan similarity of the names plus what CNIC, dates and fathers say; 5 or more is one."""
-    weight = {"equal": 6.0, "near": 3.5, "differ": -4.0, "missing": 0.0}[parties.compare_cnic(a.cnic, b.cnic)]
-    weight += {"equal": 4.0, "close": 2.5, "partial": 2.0, "weak": -1.5, "differ": -4.0, "missing": 0.0}[parties.compare_dob(a.dobs, b.dobs)]
-    firms = any(f.firm for f in a.forms) and any(f.firm for f in b.forms)
-    if not firms and weight + 6.0 < 5.0:
-        return -9.0  # not even equal names and fathers would do
-    weight += {"equal": 3.0, "differ": -2.5, "missing": 0.0}[parties.compare_father(a.father, b.father)]
-    if not firms and weight + 3.0 < 5.0:
+# Weights of what CNIC, dates and fathers say, and what a link needs in all.
+CNIC_WEIGHT = {"equal": 6.0, "near": 3.5, "differ": -4.0, "missing": 0.0}
+DOB_WEIGHT = {"equal": 4.0, "close": 2.5, "partial": 2.0, "weak": -1.5, "differ": -4.0, "missing": 0.0}
+FATHER_WEIGHT = {"equal": 3.0, "differ": -2.5, "missing": 0.0}
+AGREED, NAMED, LEAST = 2.0, 3.0, 5.0
+
+
+def decide(weight: float, forms_a, forms_b, fathers_a, fathers_b) -> float:
+    """Weight for one identity from that of CNIC and dates: fathers and Monge-Elkan similarity of the names added; -9 where 5 is out of reach."""
+    firms = any(f.firm for f in forms_a) and any(f.firm for f in forms_b)
+    if firms:
+        return 6.0 if parties.name_score(forms_a, forms_b) >= 0.88 else -9.0
+    weight += FATHER_WEIGHT[parties.compare_father(fathers_a, fathers_b)]
+    if weight + NAMED < LEAST:
         return -9.0
-    name = parties.name_score(a.forms, b.forms)
+    name = parties.name_score(forms_a, forms_b)
     if name < 0.64:
         return -9.0
-    if firms:
-        return 6.0 if name >= 0.88 else -9.0
-    return weight + (3.0 if name >= 0.95 else 2.0 if name >= 0.88 else 1.0 if name >= 0.83 else 0.0 if name >= 0.78 else -1.5)
+    return weight + (NAMED if name >= 0.95 else 2.0 if name >= 0.88 else 1.0 if name >= 0.83 else 0.0 if name >= 0.78 else -1.5)
+
+
+def evidence(a: parties.Party, b: parties.Party) -> float:
+    """``decide`` for two parties; 5 or more is one identity."""
+    return decide(CNIC_WEIGHT[parties.compare_cnic(a.cnic, b.cnic)] + DOB_WEIGHT[parties.compare_dob(a.dobs, b.dobs)], a.forms, b.forms, a.father, b.father)
+
+
+def cnic_level(a: Column, b: Column) -> Column:
+    """What ``parties.compare_cnic`` says, in the JVM."""
+    edits = F.levenshtein(a, b, 2)
+    swapped = F.exists(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.lit(13))) == b)
+    near = (edits == 1) | ((edits == 2) & swapped)
+    return F.when((a == "") | (b == ""), "missing").when(a == b, "equal").when(near, "near").otherwise("differ")
+
+
+def dob_level(a: Column, b: Column) -> Column:
+    """What ``parties.compare_dob`` says, in the JVM."""
+    year, month, day = (lambda d: d.substr(1, 4)), (lambda d: d.substr(6, 2)), (lambda d: d.substr(9, 2))
+    last = lambda d: F.when(d.contains("/"), d.substr(6, 4)).otherwise(year(d))
+
+    def level(x: Column, y: Column) -> Column:
+        same = sum(((f(x) == f(y)).cast("int") for f in (year, month, day)), F.lit(0))
+        crossed = (year(x) == year(y)) & (month(x) == day(y)) & (day(x) == month(y))
+        days = F.when(x == y, 4).when((same == 2) | crossed, 3).otherwise(0)
+        span = F.when((year(x) <= last(y)) & (year(y) <= last(x)), 2).otherwise(0)
+        n = F.least(F.length(x), F.length(y))
+        partly = F.when(x.substr(F.lit(1), n) == y.substr(F.lit(1), n), 2).when(F.abs(year(x).cast("int") - year(y).cast("int")) <= 1, 1).otherwise(0)
+        return F.when(x.contains("/") | y.contains("/"), span).when((F.length(x) == 10) & (F.length(y) == 10), days).otherwise(partly)
+
+    best = F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: level(x, y)))))
+    said = F.element_at(F.array(*[F.lit(k) for k in ("differ", "weak", "partial", "close", "equal")]), best + 1)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), "missing").otherwise(said)
+
+
+def weight_of(level: Column, weights: dict[str, float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), level)
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -148,123 +232,127 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def features(reps: DataFrame) -> DataFrame:
     """rep, its values, and its bucket keys; names that fold to nothing drop out."""
-    schema = "rep string, forms array<string>, cnic string, dobs array<string>, fathers array<string>, keys array<bigint>, partial array<bigint>, full boolean, stated boolean, firm boolean, name_keys array<string>, father_key string"
+    schema = "rep string, forms string, cnic string, dobs array<string>, fathers string, keys array<bigint>, partial array<bigint>, full boolean, stated boolean, firm boolean, name_keys array<string>, father_key string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            found = [parties.read_party(*r) for r in zip(pdf["rep"], pdf["names"], pdf["cnic"], pdf["dobs"], pdf["father"])]
+            found = [p for p in found if p.forms]
             out = []
-            for r in pdf.itertuples(index=False):
-                p = parties.read_party(r.rep, r.names, r.cnic, r.dobs, r.father)
-                if p.forms:
-                    keys, partial = block_keys(p)
-                    forms, fathers = parties.pack_party(p)
-                    full = any(len(d) == 10 for d in p.dobs)
-                    firm = any(f.firm for f in p.forms)
-                    father_key = "".join(sorted(parties.phonetic(t) for t in p.father[0])) if p.father else ""
-                    out.append((r.rep, forms, p.cnic, p.dobs, fathers, keys, partial, full, bool(p.cnic or p.dobs or p.father or firm), firm, name_keys(p), father_key))
+            for p, (keys, partial) in zip(found, block_keys_many(found)):
+                forms, fathers = parties.pack_party(p)
+                full = any(len(d) == 10 for d in p.dobs)
+                firm = any(f.firm for f in p.forms)
+                father_key = "".join(sorted(parties.phonetic(t) for t in p.father[0])) if p.father else ""
+                out.append((p.key, forms, p.cnic, p.dobs, fathers, keys, partial, full, bool(p.cnic or p.dobs or p.father or firm), firm, name_keys(p), father_key))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return reps.select("rep", "names", "cnic", "dobs", "father").mapInPandas(run, schema)
 
 
 def candidates(feats: DataFrame) -> DataFrame:
-    """(a, b): pairs that share a bucket, each once, a < b."""
-    strong = feats.select(F.col("rep"), F.explode("keys").alias("k"))
-    by_key = strong.select(F.col("rep").alias("a"), "k").join(strong.select(F.col("rep").alias("b"), "k").hint("merge"), "k").filter("a < b").select("a", "b")
-    years = feats.select(F.col("rep"), "full", F.explode("partial").alias("k"))
-    loose = years.filter(~F.col("full")).select(F.col("rep").alias("x"), "k").join(years.select(F.col("rep").alias("y"), "k").hint("merge"), "k").filter("x <> y")
-    by_year = loose.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return by_key.unionByName(by_year).distinct()
+    """(a, b): numbers n of classes that share a bucket, each pair once, a < b."""
+    strong = blocks.counted(feats.select("n", F.explode("keys").alias("k")))
+    by_key = blocks.meeting(strong, strong, "n").filter("a < b").select("a", "b")
+    years = blocks.counted(feats.select("n", "full", F.explode("partial").alias("k")))
+    loose = blocks.meeting(years.filter("NOT full").drop("full"), years.drop("full"), "n").filter("a <> b")
+    return by_key.unionByName(loose.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def verified(pairs: DataFrame, feats: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
-    """(a, b, weight) of the candidates that are one identity."""
-    values = feats.select("rep", F.struct("forms", "cnic", "dobs", "fathers").alias("v"))
-    wide = pairs.join(values.select(F.col("rep").alias("a"), F.col("v").alias("va")).hint("merge"), "a").join(values.select(F.col("rep").alias("b"), F.col("v").alias("vb")).hint("merge"), "b")
-    # Two CNICs more than a slip apart can only be outweighed by an equal date of birth.
-    apart = (F.col("va.cnic") != "") & (F.col("vb.cnic") != "") & (F.levenshtein("va.cnic", "vb.cnic", 2) < 0)
-    wide = wide.filter(~apart | F.arrays_overlap("va.dobs", "vb.dobs"))
-    flat = wide.select("a", "b", *[F.col(f"v{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("forms", "cnic", "dobs", "fathers")])
+    """(a, b, weight) of the candidates (a, b, agreed) that are one identity."""
+    values = feats.select("n", F.struct("forms", "cnic", "dobs", "fathers", "firm").alias("v"))
+    wide = pairs.join(values.select(F.col("n").alias("a"), F.col("v").alias("va")), "a").join(values.select(F.col("n").alias("b"), F.col("v").alias("vb")), "b")
+    said = weight_of(cnic_level(F.col("va.cnic"), F.col("vb.cnic")), CNIC_WEIGHT) + weight_of(dob_level(F.col("va.dobs"), F.col("vb.dobs")), DOB_WEIGHT) + F.when(F.col("agreed"), AGREED).otherwise(0.0)
+    # A generator in between: the filter on the weight is not pushed below it, which would compute it twice.
+    weighed = wide.select("a", "b", "va", "vb", F.explode(F.array(said)).alias("weight"))
+    most = F.col("weight") + NAMED + F.when((F.col("va.fathers") != "") & (F.col("vb.fathers") != ""), FATHER_WEIGHT["equal"]).otherwise(0.0)
+    flat = weighed.filter((most >= LEAST) | (F.col("va.firm") & F.col("vb.firm"))).select("a", "b", "weight", *[F.col(f"v{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("forms", "fathers")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parties.use_nicknames(nicknames)
         for pdf in batches:
-            keep = []
-            for r in pdf.itertuples(index=False):
-                w = evidence(parties.unpack_party(r.a, r.forms_a, r.cnic_a, r.dobs_a, r.fathers_a), parties.unpack_party(r.b, r.forms_b, r.cnic_b, r.dobs_b, r.fathers_b))
-                if w >= 5.0:
-                    keep.append((r.a, r.b, w))
-            yield pd.DataFrame(keep, columns=["a", "b", "weight"])
+            cells = zip(pdf["weight"].tolist(), *([x(t) for t in pdf[c].tolist()] for x, c in ((parties.unpack_forms, "forms_a"), (parties.unpack_forms, "forms_b"), (parties.unpack_fathers, "fathers_a"), (parties.unpack_fathers, "fathers_b"))))
+            weight = np.array([decide(*c) for c in cells], dtype=float)
+            yield pdf[["a", "b"]].assign(weight=weight)[weight >= LEAST]
 
-    return flat.mapInPandas(run, "a string, b string, weight double")
+    return flat.mapInPandas(run, "a bigint, b bigint, weight double")
 
 
 def agreeing_names(feats: DataFrame) -> DataFrame:
-    """(a, b): links between mentions of one exact folded name of which all stated CNICs, dates and fathers agree.
+    """(a, b): classes of one exact folded name of which all stated CNICs, dates and fathers agree, each with the first of them.
 
     They need not state the same values (one may give a CNIC, the other a date). One aggregate a name, no pairs inside it.
     """
     days = F.filter("dobs", lambda d: F.length(d) == 10)
     years = F.transform(F.filter("dobs", lambda d: ~d.contains("/")), lambda d: d.substr(1, 4))
     known = feats.filter("NOT firm").select(
-        "rep", F.nullif("cnic", F.lit("")).alias("c"), F.array_min(days).alias("d1"), F.array_max(days).alias("d2"), F.array_min(years).alias("y1"), F.array_max(years).alias("y2"),
+        "n", F.nullif("cnic", F.lit("")).alias("c"), F.array_min(days).alias("d1"), F.array_max(days).alias("d2"), F.array_min(years).alias("y1"), F.array_max(years).alias("y2"),
         F.nullif("father_key", F.lit("")).alias("f"), F.explode("name_keys").alias("name_key"),
     )
     ends = [("c", "c"), ("d1", "d2"), ("y1", "y2"), ("f", "f")]
-    one = known.groupBy("name_key").agg(F.min("rep").alias("b"), F.count("*").alias("n"), *[F.min(a).alias(f"lo_{a}") for a, _ in ends], *[F.max(b).alias(f"hi_{a}") for a, b in ends])
+    one = known.groupBy("name_key").agg(F.min("n").alias("b"), F.count("*").alias("size"), *[F.min(a).alias(f"lo_{a}") for a, _ in ends], *[F.max(b).alias(f"hi_{a}") for a, b in ends])
     for a, _ in ends:
         one = one.filter(F.col(f"lo_{a}").isNull() | (F.col(f"lo_{a}") == F.col(f"hi_{a}")))
-    return known.join(one.filter("n > 1").select("name_key", "b"), "name_key").filter("rep <> b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    return known.join(one.filter("size > 1").select("name_key", "b"), "name_key").filter("n <> b").select(F.least("n", "b").alias("a"), F.greatest("n", "b").alias("b")).distinct()
 
 
 def star_clusters(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, centre): stars over undirected links; nodes without links are not listed.
 
-    Every node points at the best-ranked of itself and its neighbours (most links, then smaller key). A node
-    that points at itself is a centre; a node whose choice is itself a satellite goes with that node's star.
-    Pointers are doubled until all end in a centre, so the number of passes is the logarithm of the longest chain.
+    In each round the nodes that rank before all their neighbours (most links, then smaller key) become centres, and the
+    neighbours of a centre its satellites (of several centres, of the best-ranked). Placed nodes leave and the rest goes
+    on, so each satellite is a neighbour of its centre; a node all of whose neighbours are placed elsewhere is alone.
     """
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    degree = both.groupBy("x").agg(F.count("*").alias("n")).select(F.col("x").alias("y"), "n")
-    near = both.join(degree.hint("merge"), "y").groupBy("x").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("y").alias("key"))).alias("best"), F.count("*").alias("own"))
-    own = F.struct((-F.col("own")).alias("n"), F.col("x").alias("key"))
-    points = reliable(near.select(F.col("x").alias("node"), F.least(own, F.col("best"))["key"].alias("centre")))
+    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x <> y").distinct()
+    degree = both.groupBy("x").agg((-F.count("*")).alias("d"))
+    ranked = both.join(degree, "x").join(degree.select(F.col("x").alias("y"), F.col("d").alias("e")), "y")
+    left = reliable(ranked.select(F.struct("d", F.col("x").alias("key")).alias("x"), F.struct(F.col("e").alias("d"), F.col("y").alias("key")).alias("y")))
+    nodes = reliable(left.select("x").distinct())
+    placed = None
     while True:
-        target = points.select(F.col("node").alias("centre"), F.col("centre").alias("next"))
-        doubled = points.join(target.hint("merge"), "centre").select("node", F.col("next").alias("centre"), (F.col("next") != F.col("centre")).alias("moved"))
-        points = reliable(doubled)
-        if points.filter("moved").isEmpty():
-            return points.drop("moved")
-        points = points.drop("moved")
-
-
-def link_names(records: DataFrame, people: DataFrame, dates: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
-    """(key, kind, cluster): the identity of every mention that has one with others, or is alone."""
+        # A node without neighbours left is its own best.
+        best = nodes.join(left.groupBy("x").agg(F.min("y").alias("best")), "x", "left")
+        centres = best.filter(F.col("best").isNull() | (F.col("x") < F.col("best"))).select(F.col("x").alias("c"))
+        sats = left.join(centres, left["y"] == centres["c"]).groupBy("x").agg(F.min("c").alias("c"))
+        got = reliable(centres.select(F.col("c").alias("x"), "c").unionByName(sats))
+        placed = got if placed is None else placed.unionByName(got)
+        gone = got.select("x")
+        nodes = reliable(nodes.join(gone, "x", "left_anti"))
+        if nodes.isEmpty():
+            return placed.select(F.col("x.key").alias("node"), F.col("c.key").alias("centre"))
+        left = reliable(left.join(gone, "x", "left_anti").join(gone.select(F.col("x").alias("y")), "y", "left_anti"))
+
+
+def link_names(records: DataFrame, people: DataFrame, dates: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> tuple[DataFrame, DataFrame]:
+    """(key, kind, n, cluster) of every mention whose identity is known, and the links (a, b) between classes n."""
     rows = reliable(parties.party_rows(records, people, dates))
     reps = reliable(classes(rows))
-    feats = reliable(features(reps))
-    links = reliable(verified(candidates(feats), feats, nicknames).select("a", "b").unionByName(agreeing_names(feats)))
+    feats = reliable(features(reps).withColumn("n", F.monotonically_increasing_id()))
+    met = candidates(feats).withColumn("agreed", F.lit(False)).unionByName(agreeing_names(feats).withColumn("agreed", F.lit(True)))
+    links = reliable(verified(met.groupBy("a", "b").agg(F.max("agreed").alias("agreed")), feats, nicknames).select("a", "b"))
     stars = star_clusters(links)
-    placed = feats.select("rep", "stated", "name_keys").join(stars.select(F.col("node").alias("rep"), "centre"), "rep", "left")
-    placed = reliable(placed.withColumn("centre", F.coalesce("centre", F.when(F.col("stated"), F.col("rep")))))
+    placed = feats.select("n", "stated", "name_keys").join(stars.select(F.col("node").alias("n"), "centre"), "n", "left")
+    placed = reliable(placed.withColumn("centre", F.coalesce("centre", F.when(F.col("stated"), F.col("n")))))
     # A bare name joins the one star of that name; where nobody of that name states anything, bare mentions join each other.
-    named = placed.select("rep", "stated", "centre", F.explode("name_keys").alias("name_key"))
-    by_name = named.groupBy("name_key").agg(
-        F.min("centre").alias("low"), F.max("centre").alias("high"), F.min(F.when(~F.col("stated"), F.col("rep"))).alias("bare")
-    )
+    named = placed.select("n", "stated", "centre", F.explode("name_keys").alias("name_key"))
+    by_name = named.groupBy("name_key").agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.min(F.when(~F.col("stated"), F.col("n"))).alias("bare"))
     unique = by_name.filter("low IS NULL OR low = high").select("name_key", F.coalesce("low", "bare").alias("found"))
-    attach = named.filter(~F.col("stated") & F.col("centre").isNull()).join(unique, "name_key").groupBy("rep").agg(F.min("found").alias("found"))
-    final = placed.join(attach, "rep", "left").select("rep", F.coalesce("centre", "found").alias("cluster")).filter("cluster IS NOT NULL")
+    attach = named.filter(~F.col("stated") & F.col("centre").isNull()).join(unique, "name_key").groupBy("n").agg(F.min("found").alias("found"))
+    final = placed.join(attach, "n", "left").select("n", F.coalesce("centre", "found").alias("c")).filter("c IS NOT NULL")
     values = ["kind", "names", "cnic", "dobs", "father"]
-    members = rows.join(reps.hint("merge"), values).select("key", "kind", "rep")
-    return members.join(final.hint("merge"), "rep").select("key", "kind", "cluster")
-
-
-def cluster_pairs(clusters: DataFrame) -> DataFrame:
-    """(key_a, key_b): mentions of one identity, at least one of them an applicant."""
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.max((F.col("kind") == "A").cast("int")).alias("any_a")).filter("n > 1 AND any_a = 1")
-    live = clusters.join(size.select("cluster").hint("merge"), "cluster")
-    left = live.filter("kind = 'A'").select("cluster", F.col("key").alias("x"))
-    right = live.select("cluster", F.col("key").alias("y"))
-    both = left.join(right.hint("merge"), "cluster").filter("x <> y")
-    return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    numbers = feats.select("n", "rep")
+    final = final.join(numbers.select(F.col("n").alias("c"), F.col("rep").alias("cluster")), "c").join(numbers, "n").select("n", "rep", "cluster")
+    members = rows.join(reps, values).select("key", "kind", "rep")
+    return reliable(members.join(final, "rep").select("key", "kind", "n", "cluster")), links
+
+
+def cluster_pairs(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """(key_a, key_b): mentions of one star, or of two linked classes, at least one of them an applicant."""
+    live = blocks.counted(clusters.select(F.col("cluster").alias("k"), "key", "kind"), 1000)
+    inside = blocks.meeting(live.filter("kind = 'A'").drop("kind"), live.drop("kind"), "key").select("a", "b")
+    named = clusters.select("n", "key", "kind", "cluster")
+    x, y = (named.select(F.col("n").alias(s), F.col("key").alias(f"k{s}"), F.col("kind").alias(f"t{s}"), F.col("cluster").alias(f"c{s}")) for s in "ab")
+    across = links.join(x, "a").join(y, "b").filter("ca <> cb AND (ta = 'A' OR tb = 'A')").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    both = inside.unionByName(across).filter("a <> b")
+    return both.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()

@@ -17,6 +17,7 @@ from sievework.functions.scalars import normalize_cnic
 from sievework.functions.similarity import jaro_winkler
 from sievework.llm.lookalike import ALIKE, script_of, strip_forms
 
+CACHE = 30_000  # entries of each cache of a worker; names repeat within a batch, and a worker's memory is bounded
 # Titles that are no part of a name.
 TITLES = frozenset("mr mrs ms mst miss dr engr prof haji hafiz malik maalik capt cap captain col colonel maj major gen brig sardar the maulana mufti qari syed sheikh ch chaudhry adv justice retd late alias aka".split())
 # Words of business names with their short forms; the first is the full word.
@@ -48,6 +49,7 @@ def _latin(text: str) -> str:
     return "".join(c for c in flat if unicodedata.category(c) != "Mn").lower()
 
 
+@lru_cache(maxsize=2 * CACHE)
 def phonetic(token: str) -> str:
     """A token under the spelling habits that typed names vary in: doubled letters, vowels, q/k/c, w/v, ph/f and dropped h."""
     t = re.sub(r"([^aeiou])\1+", r"\1", token)
@@ -58,7 +60,7 @@ def phonetic(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", t)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def bones(token: str) -> str:
     """Consonants of the phonetic form, the first letter kept."""
     p = phonetic(token)
@@ -75,7 +77,7 @@ class Name(NamedTuple):
 EMPTY = Name((), False, "", ())
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=CACHE)
 def fold_name(text: str) -> Name:
     """The parts of a name: its tokens, whether it is a firm, the codes of its business words, and a father named in it."""
     s = re.sub(r"\bm\s*/\s*s\b", " ", _latin(text or "")).replace("&", " and ").replace("+", " and ")
@@ -128,7 +130,7 @@ def nickname_pairs(forms: DataFrame, most: int = 20_000) -> frozenset[tuple[str,
     return frozenset(tuple(sorted((a[0], b[0]))) for a, b in pairs if len(a) == 1 and len(b) == 1 and a != b)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=4 * CACHE)
 def token_similarity(a: str, b: str) -> float:
     """0..1 for two name parts: spelling variants, initials, short forms cut from the front or the end, dropped vowels."""
     if a == b:
@@ -157,7 +159,7 @@ def token_similarity(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Monge-Elkan: mean best token similarity, the shorter name weighing more; joined and split parts compared as one string."""
     if not a or not b:
@@ -317,16 +319,21 @@ def read_party(key: str, names, cnic: str, dobs, father: str) -> Party:
     return Party(key, forms, cnic or "", list(dobs), [f for f in dict.fromkeys(fathers) if f and f not in (("na",), ("n", "a"), ("unknown",), ("none",))])
 
 
-def pack_party(p: Party) -> tuple[list[str], list[str]]:
+def pack_party(p: Party) -> tuple[str, str]:
     """Folded forms and fathers as texts, so that pairs are compared without folding again."""
-    return [f"{'F' if f.firm else 'P'}|{f.business}|{' '.join(f.tokens)}" for f in p.forms], [" ".join(f) for f in p.father]
+    return ";".join(f"{'F' if f.firm else 'P'}|{f.business}|{' '.join(f.tokens)}" for f in p.forms), ";".join(" ".join(f) for f in p.father)
 
 
-@lru_cache(maxsize=200_000)
-def _unpack(text: str) -> Name:
-    kind, business, tokens = text.split("|")
-    return Name(tuple(tokens.split(" ")), kind == "F", business, ())
+@lru_cache(maxsize=CACHE)
+def unpack_forms(text: str) -> tuple[Name, ...]:
+    parts = (form.split("|") for form in text.split(";"))
+    return tuple(Name(tuple(tokens.split(" ")), kind == "F", business, ()) for kind, business, tokens in parts)
 
 
-def unpack_party(key: str, forms, cnic: str, dobs, fathers) -> Party:
-    return Party(key, [_unpack(f) for f in forms], cnic, dobs, [tuple(f.split(" ")) for f in fathers])
+@lru_cache(maxsize=CACHE)
+def unpack_fathers(text: str) -> tuple[tuple[str, ...], ...]:
+    return tuple(tuple(f.split(" ")) for f in text.split(";")) if text else ()
+
+
+def unpack_party(key: str, forms: str, cnic: str, dobs, fathers: str) -> Party:
+    return Party(key, unpack_forms(forms), cnic, dobs, unpack_fathers(fathers))

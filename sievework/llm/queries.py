@@ -15,21 +15,21 @@ def _births(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliable(problems.birth_dates(spark, sf_dir))
 
 
-def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _identities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     known = parties.nickname_pairs(table(spark, sf_dir, "name_forms"))
     return names.link_names(table(spark, sf_dir, "list_records"), table(spark, sf_dir, "applicants"), _births(spark, sf_dir), known)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of mentions of one person or firm, at least one of them an applicant."""
-    return names.cluster_pairs(_identities(spark, sf_dir))
+    return names.cluster_pairs(*_identities(spark, sf_dir))
 
 
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity of every mention, with the number of its mentions."""
     from pyspark.sql import Window as W
 
-    found = _identities(spark, sf_dir)
+    found, _ = _identities(spark, sf_dir)
     return found.select("key", "kind", "cluster", F.count("*").over(W.partitionBy("cluster")).alias("mentions"))
 
 
