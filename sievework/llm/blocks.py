@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CROWD = 60
+CROWD = 400
 
 
 def counted(keys: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -235,7 +235,8 @@ def features(reps: DataFrame) -> DataFrame:
     schema = "rep string, forms string, cnic string, dobs array<string>, fathers string, keys array<bigint>, partial array<bigint>, full boolean, stated boolean, firm boolean, name_keys array<string>, father_key string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        # Some hundred keys come of a row: a thousand rows at a time bound what a worker holds.
+        for pdf in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
             found = [parties.read_party(*r) for r in zip(pdf["rep"], pdf["names"], pdf["cnic"], pdf["dobs"], pdf["father"])]
             found = [p for p in found if p.forms]
             out = []
@@ -252,9 +253,9 @@ def features(reps: DataFrame) -> DataFrame:
 
 def candidates(feats: DataFrame) -> DataFrame:
     """(a, b): numbers n of classes that share a bucket, each pair once, a < b."""
-    strong = blocks.counted(feats.select("n", F.explode("keys").alias("k")))
+    strong = reliable(blocks.counted(feats.select("n", F.explode("keys").alias("k"))))
     by_key = blocks.meeting(strong, strong, "n").filter("a < b").select("a", "b")
-    years = blocks.counted(feats.select("n", "full", F.explode("partial").alias("k")))
+    years = reliable(blocks.counted(feats.select("n", "full", F.explode("partial").alias("k"))))
     loose = blocks.meeting(years.filter("NOT full").drop("full"), years.drop("full"), "n").filter("a <> b")
     return by_key.unionByName(loose.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 

@@ -17,7 +17,7 @@ from sievework.functions.scalars import normalize_cnic
 from sievework.functions.similarity import jaro_winkler
 from sievework.llm.lookalike import ALIKE, script_of, strip_forms
 
-CACHE = 30_000  # entries of each cache of a worker; names repeat within a batch, and a worker's memory is bounded
+CACHE = 12_000  # entries of each cache of a worker; names repeat within a batch, and a worker's memory is bounded
 # Titles that are no part of a name.
 TITLES = frozenset("mr mrs ms mst miss dr engr prof haji hafiz malik maalik capt cap captain col colonel maj major gen brig sardar the maulana mufti qari syed sheikh ch chaudhry adv justice retd late alias aka".split())
 # Words of business names with their short forms; the first is the full word.

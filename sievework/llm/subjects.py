@@ -1,7 +1,7 @@
 """Subject areas of documents (problem 9): classifier chains decoded by beam search.
 
 Features of the whole text: words and word pairs, counted by the sentences that
-hold them, so a word said once in passing weighs less than a theme; the source;
+hold them, so a word said once weighs less than a theme; the source;
 and structure (length, sentences, script, share of capitals). One logistic
 model a subject follows in a chain, each seeing the decisions before it, so
 subjects that occur together support each other. Decisions are calibrated
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.tokens import source_key
+from sievework.session import small
 
 LABELLED = 4000
-VOCABULARY = 2500
 BEAM = 8
-MISSED = 0.4  # share of the true subjects that annotators are taken to leave out
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_ARABIC = re.compile("[؀-ۿ]")
 _SENTENCE = re.compile(r"[.!?۔؟\n]+|;\s")
 
 
@@ -59,8 +59,6 @@ def features(text: str, source: str | None, lang: str | None) -> dict[str, float
         keep = low if capitals > 0.3 else [w for i, (w, raw) in enumerate(zip(low, words)) if i == 0 or not raw[0].isupper()]
         seen = {f"w:{w}" for w in keep if len(w) > 2}
         seen.update(f"b:{a} {b}" for a, b in zip(keep, keep[1:]))
-        if "passing" in low:
-            seen = {f"p{x}" for x in seen}
         held.update(seen)
     out = {k: 1.0 + math.log(n) for k, n in held.items()}
     norm = math.sqrt(sum(v * v for v in out.values())) or 1.0
@@ -70,118 +68,152 @@ def features(text: str, source: str | None, lang: str | None) -> dict[str, float
     out["s:length"] = math.log1p(len(flat)) / 10
     out["s:sentences"] = math.log1p(sentences) / 5
     out["s:capitals"] = capitals
-    out["s:arabic"] = float(any("؀" <= c <= "ۿ" for c in flat[:2000]))
+    out["s:arabic"] = float(_ARABIC.search(flat) is not None)
     out[f"source:{source or '-'}"] = 0.5
     out[f"lang:{(lang or '-').strip().lower()[:2]}"] = 0.5
     return out
 
 
-def _matrix(rows: list[dict[str, float]], index: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(rows), len(index) + 1), dtype=np.float32)
-    x[:, -1] = 1.0
-    for i, row in enumerate(rows):
-        for k, v in row.items():
-            j = index.get(k)
-            if j is not None:
-                x[i, j] = v
-    return x
+class Sparse:
+    """Rows of (column, value) in compressed form: products with a dense matrix cost what is filled, not rows x columns."""
+
+    def __init__(self, rows: list[dict[str, float]], index: dict[str, int]) -> None:
+        found = [sorted((index[k], v) for k, v in row.items() if k in index) for row in rows]
+        self.shape = (len(rows), len(index))
+        self.at = np.fromiter((j for row in found for j, _ in row), dtype=np.int64)
+        self.value = np.fromiter((v for row in found for _, v in row), dtype=np.float32)
+        self.start = np.cumsum([0, *map(len, found)])
+        self._back()
+
+    def _back(self) -> None:
+        order = np.argsort(self.at, kind="stable")
+        self.row = np.repeat(np.arange(self.shape[0]), np.diff(self.start))
+        self.by_column, self.column_start = order, np.searchsorted(self.at[order], np.arange(self.shape[1] + 1))
+
+    def take(self, keep: np.ndarray) -> Sparse:
+        """The rows where ``keep`` is true."""
+        new = object.__new__(Sparse)
+        filled = keep[self.row]
+        new.at, new.value = self.at[filled], self.value[filled]
+        new.shape = (int(keep.sum()), self.shape[1])
+        new.start = np.concatenate([[0], np.cumsum(np.diff(self.start)[keep])])
+        new._back()
+        return new
+
+    @staticmethod
+    def _sums(cells: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Sums of runs of rows; an empty run is 0."""
+        total = np.zeros((len(start) - 1, cells.shape[1]), dtype=np.float32)
+        full = np.flatnonzero(np.diff(start) > 0)
+        if len(full):
+            total[full] = np.add.reduceat(cells, start[:-1][full], axis=0)
+        return total
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """rows x w."""
+        return self._sums(w[self.at] * self.value[:, None], self.start)
+
+    def back_times(self, d: np.ndarray) -> np.ndarray:
+        """columns x d: the transpose times d."""
+        order = self.by_column
+        return self._sums(d[self.row[order]] * self.value[order][:, None], self.column_start)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, links: np.ndarray | None = None, decay: float = 2e-4, steps: int = 120) -> np.ndarray:
-    """Weighted logistic regressions for all columns of y at once, by Adam with L2 decay; the last row is the intercepts.
+Fit = tuple[np.ndarray, np.ndarray]
 
-    ``links`` marks the rows of the weights that a column may use (for a chain: the labels before it).
+
+def _logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, chained: bool = False, start: Fit | None = None, decay: float = 2e-4, steps: int = 80) -> Fit:
+    """(weights of features, weights of labels and intercepts): weighted logistic regressions for all columns of y at once, by Adam with L2 decay.
+
+    In a chain a column also sees the labels before it. ``start`` is a fit to go on from.
     """
-    w = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32)
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    k = y.shape[1]
+    order = np.triu(np.ones((k, k), dtype=np.float32), 1) if chained else np.zeros((k, k), dtype=np.float32)
+    dense = np.hstack([0.5 * y, np.ones((len(y), 1), dtype=np.float32)]).astype(np.float32)
+    use = np.vstack([order, np.ones((1, k), dtype=np.float32)])
+    w, v = (m.copy() for m in start) if start else (np.zeros((x.shape[1], k), dtype=np.float32), np.zeros((k + 1, k), dtype=np.float32))
+    moments = [np.zeros_like(m) for m in (w, w, v, v)]
     total = np.maximum(weight.sum(axis=0), 1.0)
-    keep = np.ones_like(w)
-    keep[-1] = 0.0
+    fade = np.ones_like(v)
+    fade[-1] = 0.0
     for t in range(1, steps + 1):
-        g = x.T @ ((_sigmoid(x @ w) - y) * weight / total) + decay * w * keep
-        if links is not None:
-            g *= links
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
-    return w
-
-
-def _out_of_fold(x: np.ndarray, y: np.ndarray, weight: np.ndarray, folds: int, links: np.ndarray | None = None) -> np.ndarray:
-    """Scores of each row by models that did not see it."""
-    z = np.zeros(y.shape, dtype=np.float32)
-    fold = np.arange(len(x)) % folds
-    for f in range(folds):
+        error = ((_sigmoid(x.times(w) + dense @ v) - y) * weight / total).astype(np.float32)
+        for at, (p, g) in enumerate(((w, x.back_times(error) + decay * w), (v, (dense.T @ error + decay * v * fade) * use))):
+            first, second = moments[2 * at], moments[2 * at + 1]
+            first += 0.1 * (g - first)
+            second += 0.001 * (g * g - second)
+            p -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-6)
+    return w, v
+
+
+def _out_of_fold(x: Sparse, y: np.ndarray, weight: np.ndarray, starts: list[Fit | None], chained: bool = False) -> tuple[np.ndarray, list[Fit]]:
+    """Scores of each row by models that did not see it, and those models; one fold for each start."""
+    z, fits = np.zeros(y.shape, dtype=np.float32), []
+    fold = np.arange(len(y)) % len(starts)
+    for f, start in enumerate(starts):
         test = fold == f
-        if test.any() and (~test).any():
-            z[test] = x[test] @ _logistic(x[~test], y[~test], weight[~test], links)
-    return z
-
-
-def telling(rows: list[dict[str, float]], labels: np.ndarray, most: int = VOCABULARY) -> list[str]:
-    """The features that say most about some subject: how far a subject's share among their documents is from its share overall, in standard errors."""
-    spread = Counter(k for row in rows for k in row)
-    often = {k: i for i, k in enumerate(sorted(k for k, n in spread.items() if n >= 2))}
-    hits = np.zeros((len(often), labels.shape[1]))
-    for row, y in zip(rows, labels):
-        hits[[often[k] for k in row if k in often]] += y
-    n = np.array([spread[k] for k in often], dtype=float)[:, None]
-    base = labels.mean(axis=0)
-    score = (np.abs(hits - n * base) / np.sqrt(n * base * (1 - base) + 0.5)).max(axis=1)
-    names = sorted(often, key=lambda k: (-score[often[k]], k))
-    return [k for k in names if k[:2] == "s:"] + [k for k in names if k[:2] != "s:"][:most]
+        w, v = _logistic(x.take(~test), y[~test], weight[~test], chained, start, steps=30 if start else 80)
+        z[test] = x.take(test).times(w) + 0.5 * y[test] @ v[:-1] + v[-1]
+        fits.append((w, v))
+    return z, fits
 
 
 def fit_chain(rows: list[dict[str, float]], labels: np.ndarray, subjects: list[str], folds: int = 3) -> dict:
-    """The chain: vocabulary, order, weights and calibration of each subject."""
-    index = {k: i for i, k in enumerate(telling(rows, labels))}
+    """The chain: features (all that two labelled documents have), order, weights and calibration of each subject."""
+    spread = Counter(k for row in rows for k in row)
+    index = {k: i for i, k in enumerate(sorted(k for k, n in spread.items() if n >= 2))}
     order = sorted(range(len(subjects)), key=lambda j: (-labels[:, j].sum(), j))
-    y, size = labels[:, order], len(index)
-    x = _matrix(rows, index)
+    y, x = labels[:, order], Sparse(rows, index)
     # First fit without chain, out of fold, to find labels that cannot be right or are missing.
-    doubt = _sigmoid(_out_of_fold(x, y, np.ones_like(y), folds))
+    first, fits = _out_of_fold(x, y, np.ones_like(y), [None] * folds)
+    doubt = _sigmoid(first)
     trust = np.ones_like(doubt)
     trust[(y == 0) & (doubt > 0.55)] = 0.0
     trust[(y == 1) & (doubt < 0.06)] = 0.1
-    # A chain fitted at once: a subject sees the labels of those before it.
-    chained = np.hstack([x[:, :-1], 0.5 * y, x[:, -1:]])
-    links = np.ones((chained.shape[1], y.shape[1]), dtype=np.float32)
-    links[size:-1] = np.triu(np.ones((y.shape[1], y.shape[1]), dtype=np.float32), 1)
-    z = _out_of_fold(chained, y, trust, folds, links)
-    w = _logistic(chained, y, trust, links)
-    chain = []
-    for at, j in enumerate(order):
+    # The share of true subjects that the annotators name is the mean held-out score of those they name (labels that cannot be right apart).
+    named = (y == 1) & (doubt >= 0.06)
+    missed = float(np.clip(1 - doubt[named].mean(), 0.0, 0.5)) if named.any() else 0.0
+    z, fits = _out_of_fold(x, y, trust, fits, True)
+    w, v = _logistic(x, y, trust, True, tuple(np.mean(m, axis=0) for m in zip(*fits)), steps=40)
+    links, bias = v[:-1], v[-1]
+    a, b = np.ones(y.shape[1]), np.zeros(y.shape[1])
+    for at in range(y.shape[1]):
         # Platt scaling of the held-out scores.
-        a, b, ok = 1.0, 0.0, trust[:, at] > 0.5
+        ok = trust[:, at] > 0.5
         for _ in range(300):
-            e = _sigmoid(a * z[ok, at] + b) - y[ok, at]
-            a, b = a - 0.5 * float((e * z[ok, at]).mean()), b - 0.5 * float(e.mean())
-        chain.append({"subject": subjects[j], "w": w[:size, at], "links": w[size : size + at, at], "bias": float(w[-1, at]), "a": float(max(a, 0.2)), "b": float(b)})
-    return {"index": index, "chain": chain}
-
-
-def decode(model: dict, row: dict[str, float], beam: int = BEAM) -> list[tuple[str, float]]:
-    """The subjects of the best label combination, each with its calibrated probability."""
-    index = model["index"]
-    hits = [(index[k], v) for k, v in row.items() if k in index]
-    at, value = np.array([i for i, _ in hits], dtype=int), np.array([v for _, v in hits])
-    paths: list[tuple[float, tuple[int, ...], tuple[float, ...]]] = [(0.0, (), ())]
-    for link in model["chain"]:
-        base = float(link["w"][at] @ value) + link["bias"] if len(at) else link["bias"]
-        new = []
-        for score, chosen, probs in paths:
-            z = base + 0.5 * sum(float(link["links"][i]) for i, c in enumerate(chosen) if c)
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, link["a"] * z + link["b"]))))
-            p = min(max(p / (1 - MISSED), 1e-9), 1 - 1e-9) if p < 0.5 else max(p, min(1 - 1e-9, 0.5 / (1 - MISSED)))
-            p = min(p, 1 - 1e-9)
-            new.append((score + math.log(p), (*chosen, 1), (*probs, p)))
-            new.append((score + math.log(1 - p), (*chosen, 0), (*probs, p)))
-        paths = sorted(new, key=lambda t: -t[0])[:beam]
-    _, chosen, probs = paths[0]
-    return [(link["subject"], p) for link, c, p in zip(model["chain"], chosen, probs) if c]
+            e = _sigmoid(a[at] * z[ok, at] + b[at]) - y[ok, at]
+            a[at], b[at] = a[at] - 0.5 * float((e * z[ok, at]).mean()), b[at] - 0.5 * float(e.mean())
+    used = np.flatnonzero(np.abs(w).max(axis=1) > 0) if len(w) else np.zeros(0, dtype=int)
+    names = sorted(index, key=index.get)
+    return {
+        "index": {names[i]: n for n, i in enumerate(used)}, "subjects": [subjects[j] for j in order], "w": w[used], "links": links, "bias": bias, "a": np.maximum(a, 0.2), "b": b, "missed": missed,
+    }
+
+
+def decode_many(model: dict, rows: list[dict[str, float]], beam: int = BEAM) -> list[list[tuple[str, float]]]:
+    """For each document the subjects of the best label combination, each with its calibrated probability: one beam search over a whole batch."""
+    base = Sparse(rows, model["index"]).times(model["w"]) + model["bias"] if rows else np.zeros((0, len(model["subjects"])))
+    n, k, missed = len(rows), len(model["subjects"]), model["missed"]
+    score, chosen, probs = np.zeros((n, 1)), np.zeros((n, 1, k)), np.zeros((n, 1, k))
+    for at in range(k):
+        z = base[:, at : at + 1] + 0.5 * chosen[:, :, :at] @ model["links"][:at, at]
+        p = _sigmoid(model["a"][at] * z + model["b"][at])
+        # An unlabelled document may still treat the subject: what is said to be p is p / (1 - missed), at most sure.
+        p = np.clip(np.where(p < 0.5, p / (1 - missed), np.maximum(p, 0.5 / (1 - missed))), 1e-9, 1 - 1e-9)
+        score = np.concatenate([score + np.log(p), score + np.log(1 - p)], axis=1)
+        yes, no = chosen.copy(), chosen
+        yes[:, :, at] = 1.0
+        told = probs.copy()
+        told[:, :, at] = p
+        chosen, probs = np.concatenate([yes, no], axis=1), np.concatenate([told, told], axis=1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :beam]
+        score = np.take_along_axis(score, best, 1)
+        chosen, probs = (np.take_along_axis(c, best[:, :, None], 1) for c in (chosen, probs))
+    return [[(s, float(p)) for s, c, p in zip(model["subjects"], chosen[i, 0], probs[i, 0]) if c] for i in range(n)]
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> bytes | None:
@@ -189,7 +221,9 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> bytes
     known = sorted(r["subject"] for r in subjects.filter("subject IS NOT NULL").select("subject").distinct().collect())
     tagged = labels.filter(F.col("subject").isin(known) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("tags"))
     bounded = tagged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = bounded.join(documents.filter("text IS NOT NULL AND text <> ''").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang")).alias("d")), "doc_id").select("doc_id", "tags", "d.*")
+    # The bounded ids go to the documents, not the documents to them: no text is shuffled but those of the sample.
+    texts = documents.filter("text IS NOT NULL AND text <> ''").join(small(bounded), "doc_id")
+    rows = texts.groupBy("doc_id", "tags").agg(F.min(F.struct("text", "source", "lang")).alias("d")).select("doc_id", "tags", "d.*")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in pdf["doc_id"]], kind="stable")]
@@ -211,7 +245,11 @@ def assign(documents: DataFrame, model: bytes | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = pickle.loads(model)
         for pdf in batches:
-            out = [(i, s, p) for i, t, src, g in zip(pdf["doc_id"], pdf["text"], pdf["source"], pdf["lang"]) for s, p in decode(chain, features(t, src, g))]
+            out = []
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                found = decode_many(chain, [features(*cells) for cells in zip(part["text"], part["source"], part["lang"])])
+                out += [(i, s, p) for i, hits in zip(part["doc_id"], found) for s, p in hits]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "probability"]).astype({"doc_id": "int64", "probability": "float64"})
 
     return narrow.mapInPandas(run, schema).dropDuplicates(["doc_id", "subject"])

@@ -139,13 +139,13 @@ def test_linking_records_of_several_lists(spark):
 
 
 def test_crowded_blocks_are_compared_whole(spark):
-    rows = [(i, "LMN"[i % 3] if i % 7 else None, k) for k in (1, 2) for i in range(linkage.CROWD * (5 if k == 1 else 1))]
-    got = [tuple(r) for r in linkage.block_pairs(spark.createDataFrame(rows, "n long, list string, k long")).collect()]
+    rows = [(i, "LMN"[i % 3] if i % 7 else None, k) for k in (1, 2) for i in range(300 if k == 1 else 60)]
+    got = [tuple(r) for r in linkage.block_pairs(spark.createDataFrame(rows, "n long, list string, k long"), crowd=60).collect()]
     of = {key: l for key, l, _ in rows}  # noqa: E741
     want = {(a, b) for a in of for b in of if a < b and of[a] != of[b]}
     assert len(got) == len(set(got)) and set(got) == want
     # Firms state nothing but a name: 70 of one name on two lists are still met.
-    firms = [("LM"[i % 2], f"F{i}", "Baldor Trading Company Ltd", ["Baldor Trading Company Ltd"], "", "", None, None, None) for i in range(linkage.CROWD + 10)]
+    firms = [("LM"[i % 2], f"F{i}", "Baldor Trading Company Ltd", ["Baldor Trading Company Ltd"], "", "", None, None, None) for i in range(70)]
     pairs = linkage.link_records(spark.createDataFrame(firms, RECORDS), spark.createDataFrame([], DATES), least=0.0)
     assert pairs.filter("basis = 'pair'").count() == (len(firms) // 2) ** 2
 
