@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars, text
-from sievework.operators import grouping, matching, verdict
+from sievework.operators import grouping, matching, offices, verdict
 from sievework.session import small, table
 from sievework.streaming import monitor
 
@@ -210,7 +210,7 @@ def position_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offices by the level and province of their label."""
-    got = verdict.classify_position(F.col("position"))
+    got = offices.classify_position(F.col("position"))
     rows = _matches(spark, sf_dir).select("match_id", got.alias("g")).distinct()
     return rows.groupBy(F.col("g.level").alias("level"), F.col("g.province").alias("province")).agg(F.count("*").alias("n"))
 

@@ -1,6 +1,7 @@
 """Member rosters on web pages: tables with spans, cards, name-and-seat pairs, profiles, and links to editions."""
 
 from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,63 +14,71 @@ SEAT = r"(?:NA|PP|PK|PB|PS|PF|LA|GBA|W|NM)-?\s?[0-9]{1,3}"
 VACANT = r"(?i)\b(vacant|vacancy|seat is empty)\b"
 
 
-class _Tables(HTMLParser):
-    """Rows of all tables of a page, spans expanded."""
+class _Marks(HTMLParser):
+    """The marks and visible texts of a page in order: (tag, True or False for its end, attributes) and (None, text, None)."""
+
+    SILENT = ("script", "style", "sup")
 
     def __init__(self) -> None:
         super().__init__()
-        self.tables: list[list[list[str]]] = []
-        self._open: list[dict] = []
+        self.seen: list[tuple] = []
+        self._silent = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self._open.append({"rows": [], "down": {}, "cell": None})
-        elif self._open and tag == "tr":
-            self._open[-1]["rows"].append([])
-        elif self._open and tag in ("td", "th") and self._open[-1]["rows"]:
-            a = dict(attrs)
-            span = lambda k: max(1, min(60, int(a[k]) if (a.get(k) or "").isdigit() else 1))
-            self._open[-1]["cell"] = ["", span("colspan"), span("rowspan")]
+        self._silent += tag in self.SILENT
+        self.seen.append((None, " ", None) if tag == "br" else (tag, True, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        self._silent = max(0, self._silent - (tag in self.SILENT))
+        self.seen.append((tag, False, None))
 
     def handle_data(self, data):
-        if self._open and self._open[-1]["cell"]:
-            self._open[-1]["cell"][0] += data
+        if not self._silent:
+            self.seen.append((None, data, None))
 
-    def handle_endtag(self, tag):
-        if not self._open:
-            return
-        t = self._open[-1]
-        if tag in ("td", "th") and t["cell"]:
-            text, wide, deep = t["cell"]
-            row, text = t["rows"][-1], " ".join(text.split())
-            self._fill(t, row)
-            for _ in range(wide):
-                if deep > 1:
-                    t["down"][len(row)] = [text, deep - 1]
-                row.append(text)
-            t["cell"] = None
-        elif tag == "tr" and t["rows"]:
-            self._fill(t, t["rows"][-1])
-        elif tag == "table":
-            self.tables.append(t["rows"])
-            self._open.pop()
-
-    @staticmethod
-    def _fill(t, row) -> None:
-        """Cells that hang down from a row above and stand before the next free place."""
-        while len(row) in t["down"] and t["down"][len(row)][1] > 0:
-            at = len(row)
-            row.append(t["down"][at][0])
-            t["down"][at][1] -= 1
-            if t["down"][at][1] == 0:
-                del t["down"][at]
+
+def _span(attrs: dict, name: str) -> int:
+    said = attrs.get(name) or ""
+    return min(60, int(said)) if said.isdigit() and int(said) else 1
+
+
+def _grid(cells: list[tuple[int, int, int, str]]) -> list[list[str]]:
+    """Rows of text of cells (row, width, height, text) in order: each takes the first free place of its row and all that it spans."""
+    taken: dict[tuple[int, int], str] = {}
+    rows = 1 + max((r for r, *_ in cells), default=-1)
+    for row, wide, high, text in cells:
+        at = next(c for c in count() if (row, c) not in taken)
+        taken.update({(r, c): text for r in range(row, min(row + high, rows)) for c in range(at, at + wide)})
+    width = [max((c for r, c in taken if r == row), default=-1) + 1 for row in range(rows)]
+    return [[taken.get((row, c), "") for c in range(width[row])] for row in range(rows)]
 
 
 def table_rows(html: str) -> list[tuple[int, int, list[str]]]:
-    """(table, row, cells) of a page."""
-    p = _Tables()
-    p.feed(html or "")
-    return [(i, j, row) for i, t in enumerate(p.tables) for j, row in enumerate(t) if row]
+    """(table, row, cells) of a page, spans expanded; a table inside a cell is a table of its own. Breaks part words; raised notes and scripts are no text."""
+    marks = _Marks()
+    marks.feed(html or "")
+    done, inside = [], []  # a table in work: its cells, its row number, and the open cell as [width, height, texts]
+    for tag, what, attrs in [*marks.seen, *[("table", False, None)] * len(marks.seen)]:
+        if tag == "table" and what:
+            inside.append({"cells": [], "row": -1, "open": None})
+        if not inside:
+            continue
+        table = inside[-1]
+        if tag is None:
+            if table["open"]:
+                table["open"][2].append(what)
+            continue
+        if tag in ("td", "th", "tr", "table") and table["open"] and not (tag == "table" and what):
+            wide, high, texts = table["open"]
+            table["cells"].append((table["row"], wide, high, " ".join("".join(texts).split())))
+            table["open"] = None
+        if tag == "tr" and what:
+            table["row"] += 1
+        elif tag in ("td", "th") and what and table["row"] >= 0:
+            table["open"] = [_span(attrs, "colspan"), _span(attrs, "rowspan"), []]
+        elif tag == "table" and not what:
+            done.append(_grid(inside.pop()["cells"]))
+    return [(i, j, row) for i, table in enumerate(done) for j, row in enumerate(table) if row]
 
 
 def html_tables(pages: DataFrame) -> DataFrame:

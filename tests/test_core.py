@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import scalars, text
 from sievework.functions.similarity import jaro_winkler, jaro_winkler_many, osa, osa_many
-from sievework.operators import matching, prefix, snapshots, timestamps, verdict
+from sievework.operators import matching, offices, prefix, snapshots, timestamps, verdict
 
 
 def test_kernels_agree_with_scalar_forms():
@@ -264,8 +264,12 @@ def test_positions_and_scalars(spark):
     labels = {
         "Member of the Provincial Assembly of the Punjab": ("Provincial", "Punjab"), "Senator, seat 4": ("National", ""), "former Senator": None, "Chief Minister of Gujarat": None,
         "Governor of Sindh": ("Provincial", "Sindh"), "Minister of State for Ports": ("National", ""), "": None, "Bangladeshi senator": None,
+        "Mayor of Karachi": ("Local", "Sindh"), "Mayor of London": None, "councillor in the district council of Rahim Yar Khan": ("Local", "Punjab"), "Member of the Hub Municipal Committee": ("Local", "Balochistan"),
+        "Member of the Greater Hyderabad Municipal Corporation": None, "Member of the Hyderabad Municipal Corporation, Sindh": ("Local", "Sindh"), "Minister of Education (Punjab)": ("Provincial", "Punjab"),
+        "Minister of Finance of Pakistan": ("National", ""), "Deputy Speaker of the Provincial Assembly of Balochistan": ("Provincial", "Balochistan"), "Governor of Reserve Bank of India": None,
+        "captain of a cricket team": None, "Member of the Municipal Corporation of Delhi": None,
     }
-    df = spark.createDataFrame([(k,) for k in labels], "p string").select("p", verdict.classify_position(F.col("p")).alias("g"))
+    df = spark.createDataFrame([(k,) for k in labels], "p string").select("p", offices.classify_position(F.col("p")).alias("g"))
     assert {r["p"]: (tuple(r["g"]) if r["g"] else None) for r in df.collect()} == labels
     row = spark.createDataFrame([("35202-1234567-1", "1111111111111", "n.w.f.p.", "92.5%", "=x", "d'oro valley")], "a string, b string, c string, d string, e string, f string").select(
         scalars.normalize_cnic(F.col("a")), scalars.normalize_cnic(F.col("b")), scalars.known_province(F.col("c")), scalars.resolve_threshold(F.col("d")), scalars.csv_guard(F.col("e")), scalars.normalize_province(F.col("f"))

@@ -158,3 +158,9 @@ def test_functions_in_sql(spark):
     assert "name_score" in register(spark)
     row = spark.sql("SELECT name_score('Mohammed Ali', 'Muhammad Ali') s, name_reason('M Ali', 'Muhammad Ali') r, name_tokens('Dr Mohd') t").first()
     assert (row["s"], row["r"], row["t"]) == (100.0, "initials", ["MUHAMAD"])
+
+
+def test_cells_keep_words_apart_and_leave_notes_out():
+    page = "<table><tr><th rowspan=2>Name<th colspan=2>Seat</tr><tr><td>a<td>b</tr><tr><td>Ann<br>Lee<sup>a</sup><td>NA-1<script>x()</script><td><table><tr><td>in</td></tr></table></table>"
+    assert pages.table_rows(page) == [(0, 0, ["in"]), (1, 0, ["Name", "Seat", "Seat"]), (1, 1, ["Name", "a", "b"]), (1, 2, ["Ann Lee", "NA-1", ""])]
+    assert pages.table_rows("") == [] and pages.table_rows(None) == [] and pages.table_rows("<table><tr><td>open") == [(0, 0, ["open"])]
