@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sievework.plans import problems, reference, reference_sql
+from sievework.plans import lifecycle, problems, reference, reference_sql
 
 FLAGSHIP = "screen_applicants"
-QUERIES = problems.QUERIES | reference.QUERIES
-ORACLES = problems.ORACLES | reference_sql.ORACLES
+QUERIES = problems.QUERIES | reference.QUERIES | lifecycle.QUERIES
+ORACLES = problems.ORACLES | reference_sql.ORACLES | lifecycle.ORACLES

@@ -16,14 +16,14 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each applicant id; of repeated rows the latest submitted."""
+    """The table of applicants; rows may repeat."""
     return table(spark, sf_dir, "applicants")
 
 
 def screen_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every applicant against every list name at the applicant's own threshold, and every record of its CNIC: the whole matching core."""
-    one = F.max(F.struct("full_name", scalars.resolve_threshold(F.col("threshold")).alias("least"), scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("p")
-    people = _people(spark, sf_dir).filter("full_name IS NOT NULL").groupBy(F.col("id").alias("app")).agg(one).select("app", "p.*")
+    one = F.max(F.struct("submitted_at", "full_name", scalars.resolve_threshold(F.col("threshold")).alias("least"), scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("p")
+    people = _people(spark, sf_dir).filter("full_name IS NOT NULL").groupBy(F.col("id").alias("app")).agg(one).select("app", "p.full_name", "p.least", "p.cnic")
     records = table(spark, sf_dir, "list_records").groupBy("id").agg(F.max(F.struct("names", "type", scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("r"))
     names = records.select(F.col("id").alias("rec"), F.posexplode("r.names").alias("name_ord", "name"), (F.lower("r.type") == "entity").alias("is_entity")).filter("name IS NOT NULL")
     numbers = records.select(F.col("id").alias("rec"), "r.cnic")
@@ -31,6 +31,30 @@ def screen_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.screen(people.drop("cnic"), names, same=same)
 
 
+def screen_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the screening reports: the best 50 records of each applicant and source, those of one CNIC first, and whether they are among its best 50 over all sources.
+
+    ``total`` is the true number of the source. Sources follow the order of the report; ties go to the smaller record id.
+    """
+    found = screen_applicants(spark, sf_dir)
+    numbers = lambda t, key: table(spark, sf_dir, t).groupBy(F.col("id").alias(key)).agg(F.max(scalars.normalize_cnic(F.col("cnic"))).alias(f"{key}_cnic"))
+    sources = table(spark, sf_dir, "list_records").groupBy(F.col("id").alias("rec")).agg(F.min("source_key").alias("source_key"), F.max(scalars.normalize_cnic(F.col("cnic"))).alias("rec_cnic"))
+    source = F.element_at(F.create_map(*[F.lit(x) for p in _SOURCE_OF_KEY.items() for x in p]), F.col("source_key"))
+    rows = found.join(sources, "rec").join(numbers("applicants", "app"), "app")
+    rows = rows.select("app", "rec", "score", "reason", source.alias("source"), ((F.col("app_cnic") != "") & (F.col("app_cnic") == F.col("rec_cnic"))).alias("by_cnic"))
+    top = matching.top_matches(rows, ["app", "source"], [F.desc("by_cnic"), F.desc("score"), F.asc("rec")])
+    place = F.array_position(F.array(*[F.lit(s) for s in verdict.SOURCE_ORDER]), F.col("source"))
+    over_all = F.row_number().over(W.partitionBy("app").orderBy(F.desc("by_cnic"), F.desc("score"), place, "place"))
+    return top.select("app", "source", "rec", "score", "reason", "by_cnic", "place", "total", (over_all <= 50).alias("in_case"))
+
+
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded tokens of the names of persons: titles off, fused parts split, families of spellings and sounds united."""
+    names = _people(spark, sf_dir).select(F.col("full_name").alias("name"))
+    persons = table(spark, sf_dir, "list_records").filter("lower(type) <> 'entity'").select(F.explode("names").alias("name"))
+    return names.unionByName(persons).filter("name IS NOT NULL").distinct().select("name", F.array_join(text.name_tokens(F.col("name")), " ").alias("folded"))
+
+
 def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token postings of all names: in how many records each folded token stands; firms without their legal form."""
     rows = table(spark, sf_dir, "list_records").filter("id IS NOT NULL").select("id", F.explode("names").alias("name"), F.coalesce(F.lower(F.trim("type")) == "entity", F.lit(False)).alias("is_entity"))
@@ -43,6 +67,11 @@ def norm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _people(spark, sf_dir).select("id", text.norm(F.col("full_name")).alias("normed"), text.unsupported_script(F.col("full_name")).alias("refused")).distinct()
 
 
+def norm_names_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised form of applicants' names."""
+    return _people(spark, sf_dir).filter("full_name IS NOT NULL").select("id", text.norm(F.col("full_name")).alias("normed")).distinct()
+
+
 def cnic_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _people(spark, sf_dir).select("id", scalars.normalize_cnic(F.col("cnic")).alias("cnic")).distinct()
 
@@ -137,14 +166,6 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("source", "snapshot_no", status.alias("status"))
 
 
-def new_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of 2022 and later whose key was not matched before that year."""
-    m = _matches(spark, sf_dir).select("applicant_id", "source", "list", F.col("id").alias("ref"), "checked_at")
-    late = F.col("checked_at") >= F.lit("2022-01-01").cast("timestamp")
-    base = m.filter(~late).select(monitor.ALERT_KEY).distinct()
-    return monitor.new_alerts(m.filter(late).select(monitor.ALERT_KEY), base, base.limit(0))
-
-
 def baseline_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases of matches exploded from their arrays, counted by applicant."""
     m = _matches(spark, sf_dir).select("applicant_id", "match_id", F.explode("aliases").alias("alias")).filter("alias IS NOT NULL").distinct()
@@ -275,8 +296,8 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        screen_applicants, token_postings, norm_names, cnic_numbers, cnic_matches, provinces, thresholds, evidence, top_matches, best_per_record, coverage, source_rollup, case_verdicts,
-        snapshot_fingerprints, content_marks, change_detect, new_alerts, baseline_refs, batch_rollup, history_page, case_refs, guarded_export, pep_merge, pep_persons, position_levels, classified_positions,
+        screen_applicants, screen_top, folded_names, token_postings, norm_names, norm_names_plain, cnic_numbers, cnic_matches, provinces, thresholds, evidence, top_matches, best_per_record, coverage, source_rollup, case_verdicts,
+        snapshot_fingerprints, content_marks, change_detect, baseline_refs, batch_rollup, history_page, case_refs, guarded_export, pep_merge, pep_persons, position_levels, classified_positions,
         person_groups, adverse_articles, news_hits, audit_chain, latency_percentiles, windowed_events, list_quality, quality_metrics,
     )
 }

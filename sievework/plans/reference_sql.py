@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from sievework import lexicon
 from sievework.functions.scalars import PROVINCES
+from sievework.functions import text
 from sievework.lexicon import ADVERSE
 
 _CASE = " ".join(f"WHEN '{form}' THEN '{name}'" for name, forms in PROVINCES.items() for form in forms)
 
 
-def _province(col: str) -> str:
+def province_sql(col: str) -> str:
     return f"(CASE trim(regexp_replace(lower(coalesce({col}, '')), '[^a-z]+', ' ', 'g')) {_CASE} END)"
 
 
@@ -23,12 +25,12 @@ ORACLES = {
     "cnic_numbers": f"SELECT DISTINCT id, {_cnic('cnic')} AS cnic FROM applicants",
     "cnic_matches": f"""SELECT DISTINCT a.id, r.id AS rec, {_cnic('a.cnic')} AS cnic FROM applicants a JOIN list_records r
       ON {_cnic('a.cnic')} = {_cnic('r.cnic')} WHERE {_cnic('a.cnic')} <> ''""",
-    "provinces": f"SELECT coalesce({_province('province')}, '') AS province, count(*) AS n FROM matches GROUP BY 1",
+    "provinces": f"SELECT coalesce({province_sql('province')}, '') AS province, count(*) AS n FROM matches GROUP BY 1",
     "thresholds": """SELECT CASE WHEN threshold BETWEEN 50 AND 100 THEN threshold ELSE 85.0 END AS threshold, count(DISTINCT id) AS n FROM applicants GROUP BY 1""",
     "evidence": f"""
       WITH a AS (SELECT id AS applicant_id, max({{'dob': coalesce(dob, ''), 'cnic': coalesce(cnic, ''), 'province': coalesce(province, '')}}) AS a FROM applicants GROUP BY 1),
       m AS (SELECT DISTINCT match_id, applicant_id, dob, cnic, province FROM matches),
-      j AS (SELECT match_id, regexp_extract(a.a.dob, '([0-9]{{4}})', 1) AS y, m.dob, {_cnic('a.a.cnic')} AS ca, {_cnic('m.cnic')} AS cm, {_province('a.a.province')} AS pa, {_province('m.province')} AS pm
+      j AS (SELECT match_id, regexp_extract(a.a.dob, '([0-9]{{4}})', 1) AS y, m.dob, {_cnic('a.a.cnic')} AS ca, {_cnic('m.cnic')} AS cm, {province_sql('a.a.province')} AS pa, {province_sql('m.province')} AS pm
             FROM m JOIN a USING (applicant_id))
       SELECT match_id, CASE WHEN y = '' OR coalesce(dob, '') = '' THEN 'n/a' WHEN contains(dob, y) THEN 'Yes' ELSE 'No' END AS dob_year,
         CASE WHEN ca <> '' AND cm <> '' THEN ca = cm END AS same_cnic, CASE WHEN pa IS NOT NULL AND pm IS NOT NULL THEN pa = pm END AS same_province FROM j""",
@@ -64,9 +66,6 @@ ORACLES = {
       WITH g AS (SELECT source_key || '/' || file_no AS source, snapshot_no, fingerprint, coalesce(error, '') = '' AS ok FROM group_snapshots)
       SELECT source, snapshot_no, CASE WHEN NOT ok THEN 'unavailable' WHEN old IS NULL THEN 'first_seen' WHEN fingerprint = old THEN 'unchanged' ELSE 'changed' END AS status
       FROM (SELECT *, last_value(CASE WHEN ok THEN fingerprint END IGNORE NULLS) OVER (PARTITION BY source ORDER BY snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM g)""",
-    "new_alerts": """
-      SELECT DISTINCT applicant_id, source, list, id AS ref FROM matches m WHERE checked_at >= TIMESTAMPTZ '2022-01-01 00:00:00+00'
-        AND NOT EXISTS (SELECT 1 FROM matches b WHERE b.checked_at < TIMESTAMPTZ '2022-01-01 00:00:00+00' AND b.applicant_id = m.applicant_id AND b.source = m.source AND b.list = m.list AND b.id = m.id)""",
     "baseline_refs": """
       SELECT applicant_id, count(*) AS aliases, count(DISTINCT alias) AS different FROM (SELECT DISTINCT applicant_id, match_id, unnest(aliases) AS alias FROM matches) WHERE alias IS NOT NULL GROUP BY 1""",
     "batch_rollup": """
@@ -117,3 +116,50 @@ ORACLES |= {
       l AS (SELECT id, count(*) AS k FROM a JOIN (SELECT DISTINCT applicant_id, match_id, checked_at FROM matches) m ON m.applicant_id = a.id AND m.checked_at > a.last GROUP BY 1)
       SELECT a.id, coalesce(k, 0) AS open_alerts FROM a LEFT JOIN l USING (id)""",
 }
+
+
+def _norm_sql(col: str) -> str:
+    """Upper-case letters, digits and single blanks: the character map as two ``translate`` tables and the few characters that become several letters."""
+    one = {c: t for c, t in text.character_map().items() if len(t.strip()) == 1 and len(t) == 1}
+    gone = [c for c, t in text.character_map().items() if t == ""]
+    more = {c: t for c, t in text.character_map().items() if c not in one and t}
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    pairs = ", ".join(f"{quoted(c)}: {quoted(t)}" for c, t in more.items())
+    kept = f"regexp_replace(translate({col}, {quoted(''.join([*one, *gone]))}, {quoted(''.join(one.values()))}), '[''`]', '', 'g')"
+    spelled = f"array_to_string(list_transform(string_split({kept}, ''), lambda c: coalesce(map_extract_value(MAP {{{pairs}}}, c), c)), '')"
+    return f"trim(regexp_replace(regexp_replace(upper({spelled}), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _values(rows, *columns: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") t({', '.join(columns)})"
+
+
+_FUSABLE = sorted((s, c) for s in text.VARIANT.keys() | lexicon.FUSE_WORDS if (c := text.VARIANT.get(s, s)) in lexicon.FUSE_WORDS)
+_ABDUL_NAMES = sorted({p + d + s: s for p in lexicon.ABDUL_PREFIXES for s in lexicon.ABDUL_SECOND for d in ("", s[0])}.items())
+_SOUNDS = "w"
+for _sound, _letter in lexicon.PHONETIC:
+    _SOUNDS = f"replace({_SOUNDS}, '{_sound}', '{_letter}')"
+# One letter of each run: the letters whose neighbour before differs.
+_SINGLE = "array_to_string(list_filter(string_split({0}, ''), lambda c, i: i = 1 OR string_split({0}, '')[i - 1] <> c), '')"
+FOLD = f"""
+  fuse AS (SELECT * FROM {_values(_FUSABLE, 's', 'c')}), abdul AS (SELECT * FROM {_values(_ABDUL_NAMES, 'fused', 'second')}), family AS (SELECT * FROM {_values(sorted(text.VARIANT.items()), 'spelling', 'canon')}),
+  raw AS (SELECT DISTINCT unnest(toks) AS t FROM parts),
+  u AS (SELECT t, unnest(CASE WHEN second IS NULL THEN [t] ELSE ['ABDUL', second] END) AS u, generate_subscripts(CASE WHEN second IS NULL THEN [t] ELSE ['ABDUL', second] END, 1) AS i FROM raw LEFT JOIN abdul ON fused = t),
+  v AS (SELECT t, i, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM (SELECT *, CASE WHEN u LIKE '%ULLAH' AND length(u) >= 8 AND NOT ({' OR '.join(f"starts_with(u, '{p}')" for p in lexicon.ABDUL_PREFIXES)}) THEN [left(u, length(u) - 5), 'ULLAH'] ELSE [u] END AS x FROM u)),
+  p AS (SELECT t, i, j, CASE WHEN length(v) >= 7 AND right(v, 2) IN ('UL', 'UR', 'US', 'UD') THEN left(v, length(v) - 2) ELSE v END AS v FROM v),
+  cut AS (SELECT t, i, j, v, min(n) AS n FROM (SELECT *, unnest(range(3, length(v) - 2)) AS n FROM p WHERE length(v) >= 6 AND v NOT IN (SELECT s FROM fuse)) q
+    JOIN fuse a ON a.s = left(v, n) JOIN fuse b ON b.s = substr(v, CAST(n AS INTEGER) + 1) WHERE NOT (a.c = 'ABDUL' AND b.c = 'ULLAH') GROUP BY 1, 2, 3, 4),
+  w AS (SELECT t, i, j, unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (SELECT p.*, CASE WHEN n IS NULL THEN [p.v] ELSE [left(p.v, n), substr(p.v, CAST(n AS INTEGER) + 1)] END AS x FROM p LEFT JOIN cut USING (t, i, j, v))),
+  c AS (SELECT t, i, j, k, coalesce(canon, w) AS w FROM w LEFT JOIN family ON spelling = w),
+  s AS (SELECT t, i, j, k, w, {_SOUNDS} AS h FROM c),
+  fold AS (SELECT t, string_agg(CASE WHEN length(w) > 2 THEN {_SINGLE.format('h')} ELSE w END, ' ' ORDER BY i, j, k) AS f FROM s GROUP BY 1)"""
+ORACLES |= {
+    "norm_names_plain": f"SELECT DISTINCT id, {_norm_sql('full_name')} AS normed FROM applicants WHERE full_name IS NOT NULL",
+    "folded_names": f"""
+      WITH n AS (SELECT full_name AS name FROM applicants UNION SELECT unnest(names) FROM list_records WHERE lower(type) <> 'entity'),
+      x AS (SELECT DISTINCT name, string_split({_norm_sql('name')}, ' ') AS all_toks FROM n WHERE name IS NOT NULL),
+      parts AS (SELECT name, CASE WHEN len(k) > 0 THEN k ELSE list_filter(all_toks, lambda t: t <> '') END AS toks FROM (SELECT *, list_filter(all_toks, lambda t: t <> '' AND t NOT IN ({', '.join(f"'{h}'" for h in lexicon.HONORIFICS)})) AS k FROM x)),
+      {FOLD},
+      e AS (SELECT name, unnest(toks) AS t, generate_subscripts(toks, 1) AS pos FROM parts)
+      SELECT parts.name, coalesce(string_agg(f, ' ' ORDER BY pos), '') AS folded FROM parts LEFT JOIN e ON e.name = parts.name LEFT JOIN fold USING (t) GROUP BY 1""",
+}

@@ -186,8 +186,9 @@ def test_screening_at_own_thresholds_and_by_number(spark, tmp_path):
     number = lambda i: f"90000-00012{i % 50:02d}-5" if i % 3 else None
     people = [(i, name(), number(i), (60.0, 80.0, 90.0, None, 20.0)[i % 5]) for i in range(40)] + [(90, None, number(1), 80.0), (91, "", number(2), 80.0), (92, "Qwxyz", number(4), 80.0)]
     records = [(f"r{i}", [name(), name()] if i % 7 else [None, name()], "Entity" if i % 9 == 0 else "Individual", number(i)) for i in range(80)] + [("bare", [], None, number(4))]
-    spark.createDataFrame(people + people[:2], "id long, full_name string, cnic string, threshold double").write.parquet(f"{tmp_path}/applicants.parquet")
-    spark.createDataFrame(records, "id string, names array<string>, type string, cnic string").write.parquet(f"{tmp_path}/list_records.parquet")
+    old = [(people[1][0], "Older Name", None, 50.0, 0)]  # delivered again; the later row holds
+    spark.createDataFrame([(*p, 1) for p in people + people[:2]] + old, "id long, full_name string, cnic string, threshold double, submitted_at int").write.parquet(f"{tmp_path}/applicants.parquet")
+    spark.createDataFrame(records, "id string, names array<string>, type string, cnic string").withColumn("source_key", F.when(F.col("id") < "r4", "unsc").otherwise("pep")).write.parquet(f"{tmp_path}/list_records.parquet")
     got = reference.screen_applicants(spark, str(tmp_path)).collect()
     expected = {}
     for app, full, cnic, t in people:
@@ -198,6 +199,9 @@ def test_screening_at_own_thresholds_and_by_number(spark, tmp_path):
             if q and (s >= (t if t and t >= 50 else 85.0) or (cnic and cnic == other)):
                 expected[app, rec] = (s, -k, why) if s > 0 else (0.0, 0, "")
     assert {(r["app"], r["rec"]): (r["score"], r["name_ord"], r["reason"]) for r in got} == expected and len(got) == len(expected)
+    top = reference.screen_top(spark, str(tmp_path)).collect()
+    assert len(top) == len(expected) and all(r["in_case"] and (r["place"] == 1 or not r["by_cnic"] or r["total"] > 1) for r in top)
+    assert {r["rec"] for r in top if r["app"] == 92 and r["place"] == 1} <= {"bare", "r4"} and all(r["total"] == sum(x["app"] == r["app"] and x["source"] == r["source"] for x in top) for r in top)
     assert (92, "bare") in expected and {80 <= s < 85 for s, _, _ in expected.values()} == {True, False}
 
 
@@ -284,3 +288,46 @@ def test_audit_chain_follows_key_order(spark):
     for i, _ in rows:
         assert got[i][0] == prev
         prev = got[i][1]
+
+
+def test_every_spelling_folds_to_its_family():
+    from sievework import lexicon
+
+    families = lexicon.variants()
+    assert len(families) == 250 and len(set(families.values())) == 70
+    united = {c: text.fold_part(c) for c in families.values()}
+    # Two spellings are cut by an earlier rule before their family is looked up: -UD reads as a particle, ABD ALLAH as two parts.
+    early = {"MAHMOUD": ("MAHMO",), "ABDALLAH": ("ABDUL", "ALAH")}
+    assert {s: text.fold_part(s) for s in families} == {s: united[c] for s, c in families.items()} | early
+    # Two known parts written together, in any of their spellings.
+    known = [s for s in families.keys() | lexicon.FUSE_WORDS if families.get(s, s) in lexicon.FUSE_WORDS and len(s) > 2]
+    assert text.fold_part("MUHAMMADHASAN") == ("MUHAMAD", "HASAN") and text.fold_part("ALISALEEM") == ("ALI", "SALIM") and text.fold_part("ABDULLAH") == ("ABDULAH",)
+    whole = {families.get(w, w) for w in lexicon.FUSE_WORDS}
+    assert all(len(text.fold_part(a + b)) == 2 or families.get(a + b, a + b) in whole for a in known[:40] for b in known if families.get(a, a) != "ABDUL" and not (a + b).endswith(("ULLAH", "UL", "UR", "US", "UD")))
+
+
+def test_folding_in_the_jvm_equals_the_scalar_rules(spark):
+    from sievework import lexicon
+
+    rng = random.Random(4)
+    words = [*lexicon.variants(), *lexicon.ABDUL_SECOND, *lexicon.ABDUL_PREFIXES, *lexicon.HONORIFICS, "SAIFULLAH", "FAZALUR", "B", "İbrahim", "O'Neil"]
+    names = [" ".join("".join(rng.sample(words, rng.randint(1, 2))) for _ in range(rng.randint(1, 3))) for _ in range(400)] + [None, "", "...", "Dr"]
+    firms = ["Baldor S.A. de C.V.", "Felix B. Maduro S.A.", "B-Work S.A.S.", "Ltd.", "X Co. Ltd", "Aga Khan AG", None, "", "Co"]
+    for fn, scalar, rows in ((text.name_tokens, text.tokens_text, names), (text.entity_tokens, text.entity_tokens_text, firms)):
+        df = spark.createDataFrame([(n,) for n in rows], "n string").select("n", fn(F.col("n")).alias("t"))
+        assert all(tuple(r["t"]) == scalar(r["n"]) for r in df.collect())
+
+
+def test_upserts_inserts_and_states_of_sources(spark):
+    from sievework.operators import lifecycle
+
+    a = spark.createDataFrame([("x", 1, "old"), ("y", 5, "keep"), (None, 9, "no key")], "k string, at int, v string")
+    b = spark.createDataFrame([("x", 2, "new"), ("x", 2, "mew"), ("y", 4, "late"), ("z", 1, None), ("z", 0, "first")], "k string, at int, v string")
+    assert {tuple(r) for r in lifecycle.upsert(a, b, ["k"], ["at"]).collect()} == {("x", 2, "new"), ("y", 5, "keep"), ("z", 1, None)}
+    once = lifecycle.insert_absent(a, b, ["k"], ["at"])
+    assert {tuple(r) for r in once.collect()} == {("x", 1, "old"), ("y", 5, "keep"), (None, 9, "no key"), ("z", 0, "first")} and lifecycle.insert_absent(once, b, ["k"], ["at"]).count() == 4
+    files = [("s", 1, 1, "f", None, _t(0)), ("s", 2, 1, "f", "timed out at https://x.y/z  now", _t(24 * 50)), ("g", 1, 1, "f", "", _t(24 * 50)), ("g", 1, 2, "h", None, _t(24 * 50)), ("n", 1, 1, None, "gone", _t(1)), ("g", 0, 1, "f", None, _t(0))]
+    df = spark.createDataFrame(files, "source_key string, snapshot_no int, file_no int, fingerprint string, error string, loaded_at timestamp")
+    assert {r["source_key"]: (r["good_no"], r["state"]) for r in lifecycle.source_states(df).collect()} == {"s": (1, "STALE"), "g": (1, "LIVE"), "n": (None, "UNAVAILABLE")}
+    assert {r[0] for r in lifecycle.changed_sources(df).collect()} == {"g", "s"} and {tuple(r) for r in lifecycle.files_in_use(df).collect()} == {("s", 1, 1), ("g", 1, 1), ("g", 2, 1)}
+    assert "timed out at now" in {r[0] for r in df.select(lifecycle.plain_reason(F.col("error"))).collect()} and lifecycle.source_states(df.limit(0)).count() == 0
