@@ -33,12 +33,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a fresh one only where the session names none."""
+    """The shared checkpoint folder of the session. Where it names none, a fresh one on a single machine; a cluster is refused, since its executors could not read it."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not found:
         found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             found = tempfile.mkdtemp(prefix="sievework-checkpoint-")
         sc.setCheckpointDir(found)
     return found
