@@ -263,7 +263,7 @@ def candidates(feats: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, feats: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """(a, b, weight) of the candidates (a, b, agreed) that are one identity."""
     values = feats.select("n", F.struct("forms", "cnic", "dobs", "fathers", "firm").alias("v"))
-    wide = pairs.join(values.select(F.col("n").alias("a"), F.col("v").alias("va")), "a").join(values.select(F.col("n").alias("b"), F.col("v").alias("vb")), "b")
+    wide = pairs.join(values.select(F.col("n").alias("a"), F.col("v").alias("va")).hint("merge"), "a").join(values.select(F.col("n").alias("b"), F.col("v").alias("vb")).hint("merge"), "b")
     said = weight_of(cnic_level(F.col("va.cnic"), F.col("vb.cnic")), CNIC_WEIGHT) + weight_of(dob_level(F.col("va.dobs"), F.col("vb.dobs")), DOB_WEIGHT) + F.when(F.col("agreed"), AGREED).otherwise(0.0)
     # A generator in between: the filter on the weight is not pushed below it, which would compute it twice.
     weighed = wide.select("a", "b", "va", "vb", F.explode(F.array(said)).alias("weight"))
@@ -295,7 +295,7 @@ def agreeing_names(feats: DataFrame) -> DataFrame:
     one = known.groupBy("name_key").agg(F.min("n").alias("b"), F.count("*").alias("size"), *[F.min(a).alias(f"lo_{a}") for a, _ in ends], *[F.max(b).alias(f"hi_{a}") for a, b in ends])
     for a, _ in ends:
         one = one.filter(F.col(f"lo_{a}").isNull() | (F.col(f"lo_{a}") == F.col(f"hi_{a}")))
-    return known.join(one.filter("size > 1").select("name_key", "b"), "name_key").filter("n <> b").select(F.least("n", "b").alias("a"), F.greatest("n", "b").alias("b")).distinct()
+    return known.join(one.filter("size > 1").select("name_key", "b").hint("merge"), "name_key").filter("n <> b").select(F.least("n", "b").alias("a"), F.greatest("n", "b").alias("b")).distinct()
 
 
 def star_clusters(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -307,22 +307,22 @@ def star_clusters(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).filter("x <> y").distinct()
     degree = both.groupBy("x").agg((-F.count("*")).alias("d"))
-    ranked = both.join(degree, "x").join(degree.select(F.col("x").alias("y"), F.col("d").alias("e")), "y")
+    ranked = both.join(degree.hint("merge"), "x").join(degree.select(F.col("x").alias("y"), F.col("d").alias("e")).hint("merge"), "y")
     left = reliable(ranked.select(F.struct("d", F.col("x").alias("key")).alias("x"), F.struct(F.col("e").alias("d"), F.col("y").alias("key")).alias("y")))
     nodes = reliable(left.select("x").distinct())
     placed = None
     while True:
         # A node without neighbours left is its own best.
-        best = nodes.join(left.groupBy("x").agg(F.min("y").alias("best")), "x", "left")
+        best = nodes.join(left.groupBy("x").agg(F.min("y").alias("best")).hint("merge"), "x", "left")
         centres = best.filter(F.col("best").isNull() | (F.col("x") < F.col("best"))).select(F.col("x").alias("c"))
-        sats = left.join(centres, left["y"] == centres["c"]).groupBy("x").agg(F.min("c").alias("c"))
+        sats = left.join(centres.hint("merge"), left["y"] == centres["c"]).groupBy("x").agg(F.min("c").alias("c"))
         got = reliable(centres.select(F.col("c").alias("x"), "c").unionByName(sats))
         placed = got if placed is None else placed.unionByName(got)
         gone = got.select("x")
-        nodes = reliable(nodes.join(gone, "x", "left_anti"))
+        nodes = reliable(nodes.join(gone.hint("merge"), "x", "left_anti"))
         if nodes.isEmpty():
             return placed.select(F.col("x.key").alias("node"), F.col("c.key").alias("centre"))
-        left = reliable(left.join(gone, "x", "left_anti").join(gone.select(F.col("x").alias("y")), "y", "left_anti"))
+        left = reliable(left.join(gone.hint("merge"), "x", "left_anti").join(gone.select(F.col("x").alias("y")).hint("merge"), "y", "left_anti"))
 
 
 def link_names(records: DataFrame, people: DataFrame, dates: DataFrame, nicknames: frozenset[tuple[str, str]] = frozenset()) -> tuple[DataFrame, DataFrame]:
@@ -333,19 +333,19 @@ def link_names(records: DataFrame, people: DataFrame, dates: DataFrame, nickname
     met = candidates(feats).withColumn("agreed", F.lit(False)).unionByName(agreeing_names(feats).withColumn("agreed", F.lit(True)))
     links = reliable(verified(met.groupBy("a", "b").agg(F.max("agreed").alias("agreed")), feats, nicknames).select("a", "b"))
     stars = star_clusters(links)
-    placed = feats.select("n", "stated", "name_keys").join(stars.select(F.col("node").alias("n"), "centre"), "n", "left")
+    placed = feats.select("n", "stated", "name_keys").join(stars.select(F.col("node").alias("n"), "centre").hint("merge"), "n", "left")
     placed = reliable(placed.withColumn("centre", F.coalesce("centre", F.when(F.col("stated"), F.col("n")))))
     # A bare name joins the one star of that name; where nobody of that name states anything, bare mentions join each other.
     named = placed.select("n", "stated", "centre", F.explode("name_keys").alias("name_key"))
     by_name = named.groupBy("name_key").agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.min(F.when(~F.col("stated"), F.col("n"))).alias("bare"))
     unique = by_name.filter("low IS NULL OR low = high").select("name_key", F.coalesce("low", "bare").alias("found"))
-    attach = named.filter(~F.col("stated") & F.col("centre").isNull()).join(unique, "name_key").groupBy("n").agg(F.min("found").alias("found"))
-    final = placed.join(attach, "n", "left").select("n", F.coalesce("centre", "found").alias("c")).filter("c IS NOT NULL")
+    attach = named.filter(~F.col("stated") & F.col("centre").isNull()).join(unique.hint("merge"), "name_key").groupBy("n").agg(F.min("found").alias("found"))
+    final = placed.join(attach.hint("merge"), "n", "left").select("n", F.coalesce("centre", "found").alias("c")).filter("c IS NOT NULL")
     values = ["kind", "names", "cnic", "dobs", "father"]
     numbers = feats.select("n", "rep")
-    final = final.join(numbers.select(F.col("n").alias("c"), F.col("rep").alias("cluster")), "c").join(numbers, "n").select("n", "rep", "cluster")
-    members = rows.join(reps, values).select("key", "kind", "rep")
-    return reliable(members.join(final, "rep").select("key", "kind", "n", "cluster")), links
+    final = final.join(numbers.select(F.col("n").alias("c"), F.col("rep").alias("cluster")).hint("merge"), "c").join(numbers.hint("merge"), "n").select("n", "rep", "cluster")
+    members = rows.join(reps.hint("merge"), values).select("key", "kind", "rep")
+    return reliable(members.join(final.hint("merge"), "rep").select("key", "kind", "n", "cluster")), links
 
 
 def cluster_pairs(clusters: DataFrame, links: DataFrame) -> DataFrame:
@@ -354,6 +354,6 @@ def cluster_pairs(clusters: DataFrame, links: DataFrame) -> DataFrame:
     inside = blocks.meeting(live.filter("kind = 'A'").drop("kind"), live.drop("kind"), "key").select("a", "b")
     named = clusters.select("n", "key", "kind", "cluster")
     x, y = (named.select(F.col("n").alias(s), F.col("key").alias(f"k{s}"), F.col("kind").alias(f"t{s}"), F.col("cluster").alias(f"c{s}")) for s in "ab")
-    across = links.join(x, "a").join(y, "b").filter("ca <> cb AND (ta = 'A' OR tb = 'A')").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    across = links.join(x.hint("merge"), "a").join(y.hint("merge"), "b").filter("ca <> cb AND (ta = 'A' OR tb = 'A')").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     both = inside.unionByName(across).filter("a <> b")
     return both.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
