@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions.scalars import first_year
-from sievework.operators.verdict import classify_position
+from sievework.operators.offices import classify_position
 from sievework.sources.lists import _record
 
 PEOPLE = "id string, name string, aliases array<string>, dob string, dod string, positions array<struct<label:string,start:string,end:string>>"
@@ -62,7 +62,7 @@ def snapshot_records(people: DataFrame, politicians: DataFrame, members: DataFra
     day = F.lit(today).cast("date")
     alive = people.filter("coalesce(dod, '') = ''")
     offices = F.filter(
-        F.transform("positions", lambda p: F.struct(p["label"].alias("label"), classify_position(p["label"]).alias("c"), span(p["start"], p["end"]).alias("span"), in_lookback(p["end"], day, years).alias("ok"))),
+        F.transform("positions", lambda p: F.struct(p["label"].alias("label"), classify_position(p["label"], F.lit(True)).alias("c"), span(p["start"], p["end"]).alias("span"), in_lookback(p["end"], day, years).alias("ok"))),
         lambda p: p["c"].isNotNull() & p["ok"],
     )
     ordered = F.transform(
