@@ -27,7 +27,7 @@ def screen_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "list_records").groupBy("id").agg(F.max(F.struct("names", "type", scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("r"))
     names = records.select(F.col("id").alias("rec"), F.posexplode("r.names").alias("name_ord", "name"), (F.lower("r.type") == "entity").alias("is_entity")).filter("name IS NOT NULL")
     numbers = records.select(F.col("id").alias("rec"), "r.cnic")
-    same = people.filter("cnic <> ''").select("app", "cnic").join(numbers.filter("cnic <> ''"), "cnic").select("app", "rec")
+    same = people.filter("cnic <> ''").select("app", "cnic").join(numbers.filter("cnic <> ''").hint("merge"), "cnic").select("app", "rec")
     return matching.screen(people.drop("cnic"), names, same=same)
 
 

@@ -331,3 +331,22 @@ def test_upserts_inserts_and_states_of_sources(spark):
     assert {r["source_key"]: (r["good_no"], r["state"]) for r in lifecycle.source_states(df).collect()} == {"s": (1, "STALE"), "g": (1, "LIVE"), "n": (None, "UNAVAILABLE")}
     assert {r[0] for r in lifecycle.changed_sources(df).collect()} == {"g", "s"} and {tuple(r) for r in lifecycle.files_in_use(df).collect()} == {("s", 1, 1), ("g", 1, 1), ("g", 2, 1)}
     assert "timed out at now" in {r[0] for r in df.select(lifecycle.plain_reason(F.col("error"))).collect()} and lifecycle.source_states(df.limit(0)).count() == 0
+
+
+def test_screening_broadcasts_nothing_that_grows(spark, tmp_path):
+    """However large a broadcast may be by the planner's estimate, vocabularies and names are merged, not sent to the driver."""
+    people = spark.createDataFrame([(i, n) for i, n in enumerate(("Muhammad Ali Khan", "Imran Raza", "Nawaz B"))], "app long, full_name string")
+    names = spark.createDataFrame([("r1", 0, "MUHAMAD ALI KHAN", False), ("r2", 0, "IMRAN RAZA", False)], "rec string, name_ord int, name string, is_entity boolean")
+    for at, df in (("people", people), ("names", names)):
+        df.write.parquet(f"{tmp_path}/{at}")  # a file's size is known to the planner
+    people, names, plans = spark.read.parquet(f"{tmp_path}/people"), spark.read.parquet(f"{tmp_path}/names"), []
+    cut, matching.reliable = matching.reliable, lambda df, **k: (plans.append(df), cut(df, **k))[1]
+    try:
+        found = matching.screen(people, names, 80.0)
+    finally:
+        matching.reliable = cut
+    for df in [*plans, found]:
+        plan = df._jdf.queryExecution().executedPlan().toString().rpartition("== Initial Plan ==")[2]
+        # Initials alone, of which there are no more than letters.
+        assert plan.count("BroadcastHashJoin") <= 2 * (plan.count("MapInPandas") > 0), plan
+    assert {(r["app"], r["rec"]) for r in found.collect()} == {(0, "r1"), (1, "r2")}
