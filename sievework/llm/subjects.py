@@ -162,6 +162,18 @@ def _out_of_fold(x: Sparse, y: np.ndarray, weight: np.ndarray, starts: list[Fit
     return z, fits
 
 
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """(a, b) of the best logistic fit a z + b to labels y, by Newton steps; a faint pull to (1, 0) holds it where all labels are alike."""
+    x, at = np.column_stack([z, np.ones(len(z))]).astype(float), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = _sigmoid(x @ at)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (p - y) + 0.1 * (at - [1.0, 0.0]))
+        at = at - step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(at[0]), float(at[1])
+
+
 def fit_chain(rows: list[dict[str, float]], labels: np.ndarray, subjects: list[str], folds: int = 3) -> dict:
     """The chain: features (all that two labelled documents have), order, weights and calibration of each subject."""
     spread = Counter(k for row in rows for k in row)
@@ -180,13 +192,8 @@ def fit_chain(rows: list[dict[str, float]], labels: np.ndarray, subjects: list[s
     z, fits = _out_of_fold(x, y, trust, fits, True)
     w, v = _logistic(x, y, trust, True, tuple(np.mean(m, axis=0) for m in zip(*fits)), steps=40)
     links, bias = v[:-1], v[-1]
-    a, b = np.ones(y.shape[1]), np.zeros(y.shape[1])
-    for at in range(y.shape[1]):
-        # Platt scaling of the held-out scores.
-        ok = trust[:, at] > 0.5
-        for _ in range(300):
-            e = _sigmoid(a[at] * z[ok, at] + b[at]) - y[ok, at]
-            a[at], b[at] = a[at] - 0.5 * float((e * z[ok, at]).mean()), b[at] - 0.5 * float(e.mean())
+    # Every label given counts here, also those left out of the fit: a low score is most often a word that the fit had not seen.
+    a, b = np.array([platt(z[ok, at], y[ok, at]) for at, ok in enumerate(((y == 1) | (trust > 0.5)).T)]).reshape(-1, 2).T
     used = np.flatnonzero(np.abs(w).max(axis=1) > 0) if len(w) else np.zeros(0, dtype=int)
     names = sorted(index, key=index.get)
     return {

@@ -277,3 +277,22 @@ def test_subjects_on_held_out_documents(spark):
     assert good / sum(len(found[i]) for i in held) > 0.9 and good / sum(len(truth[i]) for i in held) > 0.9 and not found[900] and not found[901]
     assert {r["subject"] for r in subjects.composition(rows, d).collect()} >= set(words)
     assert subjects.subject_areas(d, lab.limit(0), sub).count() == 0
+
+
+def test_probabilities_of_subjects_are_shares():
+    """Documents whose words the fit has not seen count in the calibration: what is said to be p is so in a share p of unseen documents."""
+    rng = random.Random(5)
+    word = lambda i: "".join("bdfgklmnpr"[int(d)] + "aeiou"[int(d) % 5] for d in f"{i:05d}")
+    words = {"law": [word(i) for i in range(300)], "sport": [word(i) for i in range(300, 40_000)]}
+
+    def document():
+        s = "law" if rng.random() < 0.06 else "sport"
+        return subjects.features(f"the {rng.choice(words[s])} and a {rng.choice(words[s])} came to {rng.choice('abcdefgh')}one.", "x", "en"), float(s == "law")
+
+    rows, y = zip(*(document() for _ in range(6000)))
+    model = subjects.fit_chain(list(rows[:1500]), np.array(y[:1500], dtype=np.float32)[:, None], ["law"])
+    z = subjects.Sparse(list(rows[1500:]), model["index"]).times(model["w"])[:, 0] + model["bias"][0]
+    p, true = 1 / (1 + np.exp(-(model["a"][0] * z + model["b"][0]))), np.array(y[1500:])
+    unsure = p < 0.5
+    assert 0.6 < p[unsure].mean() / true[unsure].mean() < 1.6, (p[unsure].mean(), true[unsure].mean())
+    assert subjects.platt(np.zeros(3), np.ones(3))[1] > 0 and subjects.platt(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
