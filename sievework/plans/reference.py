@@ -40,7 +40,7 @@ def screen_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = lambda t, key: table(spark, sf_dir, t).groupBy(F.col("id").alias(key)).agg(F.max(scalars.normalize_cnic(F.col("cnic"))).alias(f"{key}_cnic"))
     sources = table(spark, sf_dir, "list_records").groupBy(F.col("id").alias("rec")).agg(F.min("source_key").alias("source_key"), F.max(scalars.normalize_cnic(F.col("cnic"))).alias("rec_cnic"))
     source = F.element_at(F.create_map(*[F.lit(x) for p in _SOURCE_OF_KEY.items() for x in p]), F.col("source_key"))
-    rows = found.join(sources, "rec").join(numbers("applicants", "app"), "app")
+    rows = found.join(sources.hint("merge"), "rec").join(numbers("applicants", "app").hint("merge"), "app")
     rows = rows.select("app", "rec", "score", "reason", source.alias("source"), ((F.col("app_cnic") != "") & (F.col("app_cnic") == F.col("rec_cnic"))).alias("by_cnic"))
     top = matching.top_matches(rows, ["app", "source"], [F.desc("by_cnic"), F.desc("score"), F.asc("rec")])
     place = F.array_position(F.array(*[F.lit(s) for s in verdict.SOURCE_ORDER]), F.col("source"))
