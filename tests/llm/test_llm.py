@@ -77,6 +77,26 @@ def test_candidates_hold_what_evidence_accepts():
     assert len(true) > 120 and len(met) >= 0.97 * len(true)
 
 
+def test_buckets_are_made_after_the_shuffle(spark):
+    rng, rows = random.Random(17), []
+    part = lambda: "".join(rng.choice("bdgkmnrst") + rng.choice("aiu") for _ in range(2))
+    for k in range(400):
+        dobs = [[f"197{k % 2}-0{rng.randint(1, 3)}-1{rng.randint(0, 2)}"], [f"197{k % 2}"], [], ["1970/1972"]][rng.randint(0, 3)]
+        name = f"{part()} {part()} Trading Company Ltd" if k % 9 == 0 else f"{part()} {part()}"
+        rows.append((f"k{k:03d}", [name, part()], f"90000{rng.randint(0, 10**8 - 1):08d}" if k % 4 == 0 else "", dobs, part() if k % 3 else ""))
+    reps = spark.createDataFrame(rows, "rep string, names array<string>, cnic string, dobs array<string>, father string")
+    feats = names.features(reps).withColumn("n", F.monotonically_increasing_id()).cache()
+    keys = {r["n"]: (*map(set, names.block_keys(parties.unpack_party("", r["forms"], r["cnic"], r["dobs"], r["fathers"]))), r["full"]) for r in feats.collect()}
+    want = {(a, b) for a in keys for b in keys if a < b and (keys[a][0] & keys[b][0] or keys[a][1] & keys[b][1] and not (keys[a][2] and keys[b][2]))}
+    shipped = names.bucket_rows(feats).collect()
+    assert len(want) > 500 and {tuple(r) for r in names.candidates(feats).collect()} == {tuple(r) for r in names.candidates(feats, rows=1).collect()} == want
+    # A bucket beyond the crowd is paired part by part, and no pair is lost; a few rows a class cross the shuffle, not one a bucket.
+    v, m, name = (np.array(c, dtype=t) for c, t in zip(zip(*shipped), (np.int64, np.int64, object)))
+    for most, crowd in ((10, 400), (10**6, 3)):
+        assert {(a, b) for x, y in names.bucket_pairs(v, m, name, most, crowd) for a, b in zip(x.tolist(), y.tolist())} == want
+    assert 4 * len(shipped) < sum(len(a) + len(b) for a, b, _ in keys.values())
+
+
 def test_stars_end_in_centres(spark):
     links = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("a", "b")]
     got = {r["node"]: r["centre"] for r in names.star_clusters(spark.createDataFrame(links, "a string, b string")).collect()}
