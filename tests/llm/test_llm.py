@@ -45,6 +45,29 @@ def test_comparisons():
     assert parties.monge_elkan(("koodkhaa", "yilaani"), ("yilani", "kudkha")) > 0.9 > 0.7 > parties.monge_elkan(("koodkhaa", "yilaani"), ("brimir", "tanov"))
 
 
+def test_batches_compare_as_single_pairs_do():
+    rng, parts = random.Random(9), "ab abd abdul abdulah mohammad muhamad mhmd m k khan kan qhan yilaani yilani hutla hutlaa kudkha koodkhaa rahman rehman ehman".split()
+    parties.use_nicknames(frozenset({("khan", "yilani")}))
+    try:
+        def form():
+            tokens_ = tuple(rng.choice(parts) for _ in range(rng.choice([1, 1, 2, 3, 3, 4, 12])))
+            if rng.random() < 0.2:
+                tokens_ = (*tokens_[:-1], "".join(rng.choice("abdiklmnrsu") for _ in range(rng.choice([3, 9, 60]))))
+            return parties.Name(tokens_, rng.random() < 0.15, rng.choice(["", "tra", "tra gen"]), ())
+
+        forms = [tuple(form() for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(3000)]
+        fathers = [tuple(form().tokens for _ in range(rng.choice([0, 1, 1, 2]))) for _ in forms]
+        weight = np.array([rng.choice([-4.0, 0.0, 2.0, 3.5, 6.0, 10.0]) for _ in forms[1:]])
+        x, y, fx, fy = forms[1:], forms[:-1], fathers[1:], fathers[:-1]
+        assert parties.name_score_many(x, y).tolist() == [parties.name_score(*p) for p in zip(x, y)]
+        assert parties.compare_father_many(fx, fy) == [parties.compare_father(*p) for p in zip(fx, fy)]
+        assert linkage.name_patterns(x, y, fx, fy) == [linkage.name_pattern(*p) for p in zip(x, y, fx, fy)]
+        assert names.decide_many(weight, x, y, fx, fy).tolist() == [names.decide(*p) for p in zip(weight.tolist(), x, y, fx, fy)]
+        assert parties.name_score_many([], []).tolist() == [] == linkage.name_patterns([], [], [], []) == names.decide_many(np.zeros(0), [], [], [], []).tolist()
+    finally:
+        parties.use_nicknames(frozenset())
+
+
 def test_linking_typed_names(spark):
     people = [
         (1, "Koodkhaa Hutla Yilaani", "90000-0681838-2", "Boodgazja Neevtesh", "x"), (1, "Koodkhaa Hutla Yilaani", "90000-0681838-2", "Boodgazja Neevtesh", "x"),
