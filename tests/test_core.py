@@ -350,3 +350,47 @@ def test_screening_broadcasts_nothing_that_grows(spark, tmp_path):
         # Initials alone, of which there are no more than letters.
         assert plan.count("BroadcastHashJoin") <= 2 * (plan.count("MapInPandas") > 0), plan
     assert {(r["app"], r["rec"]) for r in found.collect()} == {(0, "r1"), (1, "r2")}
+
+
+def test_screening_shuffles_names_and_not_pairs(spark):
+    """Pairs of names grow with the product of the tables: none crosses a shuffle, however many are hits."""
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    people = spark.createDataFrame([(i, "Muhammad Ali Khan") for i in range(400)], "app long, full_name string")
+    names = spark.createDataFrame([(f"r{i}", 0, "MUHAMAD ALI KHAN", False) for i in range(400)], "rec string, name_ord int, name string, is_entity boolean")
+    before = written()
+    assert matching.screen(people, names, 80.0).count() == 160_000
+    assert written() - before < 250_000
+
+
+def test_screening_of_a_block_in_small_shares(monkeypatch):
+    """However little is taken at a time, what is met equals the full scan, initials, titles and long names included."""
+    import pyarrow as pa
+    from sievework.operators import meeting
+
+    rng = random.Random(7)
+    base = "MUHAMAD ALI KHAN SYED IMRAN RAZA PETROV ALEXEI SERGEI IVANOV MALIK SHAH NAWAZ B K HAJI".split()
+    name = lambda most: " ".join(p if rng.random() < 0.7 or len(p) < 4 else p[:2] + p[3:] for p in (rng.choice(base) for _ in range(rng.randint(1, most))))
+    people, listed = [(i, name(5 + 9 * (i % 9 == 0)), rng.choice((60.0, 80.0, 90.0))) for i in range(60)], [(f"r{i // 2}", i % 2, name(5 + 9 * (i % 9 == 0))) for i in range(150)]
+    words = {w for _, n, _ in people for w in n.split()}, {w for *_, n in listed for w in n.split()}
+    near = [(a, b, s) for a in words[0] for b in words[1] if a != b and min(len(a), len(b)) > 1 and (s := matching.part_similarity(a, b)) >= matching.CUTOFF]
+    same = [(1, "r3"), (2, "bare"), (99, "r1"), (3, "r4")]
+    rows = [(1, i, None, n, None, t) for i, n, t in people] + [(2, None, r, n, None, float(o)) for r, o, n in listed] + [(0, None, None, a, b, s) for a, b, s in near] + [(3, a, r, None, None, None) for a, r in same]
+    rng.shuffle(rows)
+    kinds = pa.schema([("kind", pa.int8()), ("app", pa.int64()), ("rec", pa.string()), ("text", pa.string()), ("other", pa.string()), ("number", pa.float64())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 40]), kinds)], schema=kinds) for at in range(0, len(rows), 40)]
+    expected = {}
+    for app, n, least in people:
+        for rec in {r for r, *_ in listed} | {"bare"}:
+            each = [(*matching.score(tuple(n.split()), tuple(m.split())), o) for r, o, m in listed if r == rec]
+            s, why, o = max(each, key=lambda x: (x[0], -x[2]), default=(0.0, "", 0))
+            if s >= least or (app, rec) in same:
+                expected[app, rec] = (o, s, why) if s > 0 else (0, 0.0, "")
+    for chunk, once, held in ((200_000, 1_000_000, 6_000_000), (17, 50, 90)):
+        for k, v in (("CHUNK", chunk), ("AT_ONCE", once), ("HELD", held)):
+            monkeypatch.setattr(meeting, k, v)
+        got = [r for b in meeting.screened(pa.int64(), pa.string(), pa.int32())(iter(batches)) for r in b.to_pylist()]
+        assert {(r["app"], r["rec"]): (r["name_ord"], r["score"], r["reason"]) for r in got} == expected and len(got) == len(expected) > 50
