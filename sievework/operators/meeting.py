@@ -371,12 +371,16 @@ def best(app: np.ndarray, rec: np.ndarray, ord_: np.ndarray, value: np.ndarray,
 
 
 # Kinds of rows of a block.
-NEAR, APPLICANT, LISTED, SAME = range(4)
+NEAR, APPLICANT, LISTED, SAME, RECORD, NUMBER = range(6)
+
+
+def matches(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("app", app_type), ("rec", rec_type), ("name_ord", ord_type), ("score", pa.float64()), ("reason", pa.string())])
 
 
 def screened(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType):
     """A function of the batches (kind, app, rec, text, other, number) of one block to its matches (app, rec, name_ord, score, reason)."""
-    schema = pa.schema([("app", app_type), ("rec", rec_type), ("name_ord", ord_type), ("score", pa.float64()), ("reason", pa.string())])
+    schema = matches(app_type, rec_type, ord_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, near, people, listed, same = Parts(), [], Rows(app_type), Rows(rec_type), []
@@ -435,3 +439,63 @@ def screened(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType
             yield pa.RecordBatch.from_arrays([apps.take(pa.array(app)), recs.take(pa.array(rec)), pa.array(ord_).cast(ord_type), pa.array(value), reasons.take(pa.array(reason.astype(np.int64)))], schema=schema)
 
     return run
+
+
+def places(*keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place from 1, size of the group) of each row within its group, of the first ``groups`` keys, by the order of all keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for x in keys[:groups]:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
+    place, size = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    place[order], size[order] = spread(sizes)[1] + 1, np.repeat(sizes, sizes)
+    return place, size
+
+
+def reported(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType, sources: tuple[str, ...], k: int = 50):
+    """As ``screened``, to the first k records of each applicant and source: those of one number first, then by score and record.
+
+    Rows of kind RECORD (rec, text: source, other: number) and NUMBER (app, other: number) say what that needs; without them a match
+    is left out. ``total`` is the true number of the source, ``in_case`` whether a row is among the first k of all sources.
+    """
+    meet_block, kind = screened(app_type, rec_type, ord_type), matches(app_type, rec_type, ord_type)
+    schema = pa.schema([("app", app_type), ("source", pa.string()), ("rec", rec_type), ("score", pa.float64()), ("reason", pa.string()), ("by_cnic", pa.bool_()), ("place", pa.int32()), ("total", pa.int64()), ("in_case", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {RECORD: [], NUMBER: []}
+
+        def names() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+                for x, some in held.items():
+                    if (kinds == x).any():
+                        some.append(batch.filter(pa.array(kinds == x)))
+                yield batch.filter(pa.array(kinds < RECORD))
+
+        found = pa.Table.from_batches(meet_block(names()), schema=kind)
+        if not (found.num_rows and held[RECORD] and held[NUMBER]):
+            return
+        records, numbers = (pa.Table.from_batches(x).combine_chunks() for x in held.values())
+        codes = lambda x: x.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = lambda x, every: pc.index_in(x, value_set=every.combine_chunks(), skip_nulls=True).fill_null(-1).to_numpy().astype(np.int64)
+        rec, app = at(found["rec"], records["rec"]), at(found["app"], numbers["app"])
+        known = np.flatnonzero((rec >= 0) & (app >= 0))
+        found, rec, app = found.take(pa.array(known)), rec[known], app[known]
+        both = codes(pa.chunked_array([*numbers["other"].chunks, *records["other"].chunks, pa.array([""], pa.string())]))
+        mine, theirs = both[: numbers.num_rows][app], both[numbers.num_rows : -1][rec]
+        by = (mine == theirs) & (mine != both[-1])
+        by &= ~numbers["other"].is_null().to_numpy()[app]
+        source, position = codes(records["text"])[rec], (pc.index_in(records["text"], value_set=pa.array(sources)).fill_null(-1).to_numpy().astype(np.int64))[rec]
+        rank = np.empty(records.num_rows, np.int64)
+        rank[pc.sort_indices(records["rec"]).to_numpy()] = np.arange(records.num_rows)
+        score = found["score"].to_numpy()
+        place, total = places(app, source, ~by, -score, rank[rec], groups=2)
+        top = np.flatnonzero(place <= k)
+        over_all, _ = places(app[top], ~by[top], -score[top], position[top], place[top], groups=1)
+        found, text_ = found.take(pa.array(top)), records["text"].combine_chunks().take(pa.array(rec[top]))
+        columns = [found["app"], text_, found["rec"], found["score"], found["reason"], by[top], place[top], total[top], over_all <= k]
+        yield from pa.table([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema).combine_chunks().to_batches(max_chunksize=50_000)
+
+    return run

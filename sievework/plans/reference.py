@@ -20,15 +20,21 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "applicants")
 
 
-def screen_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every applicant against every list name at the applicant's own threshold, and every record of its CNIC: the whole matching core."""
+def _screening(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """People with their own threshold, list names, and the pairs of one CNIC."""
     one = F.max(F.struct("submitted_at", "full_name", scalars.resolve_threshold(F.col("threshold")).alias("least"), scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("p")
     people = _people(spark, sf_dir).filter("full_name IS NOT NULL").groupBy(F.col("id").alias("app")).agg(one).select("app", "p.full_name", "p.least", "p.cnic")
     records = table(spark, sf_dir, "list_records").groupBy("id").agg(F.max(F.struct("names", "type", scalars.normalize_cnic(F.col("cnic")).alias("cnic"))).alias("r"))
     names = records.select(F.col("id").alias("rec"), F.posexplode("r.names").alias("name_ord", "name"), (F.lower("r.type") == "entity").alias("is_entity")).filter("name IS NOT NULL")
     numbers = records.select(F.col("id").alias("rec"), "r.cnic")
     same = people.filter("cnic <> ''").select("app", "cnic").join(numbers.filter("cnic <> ''").hint("merge"), "cnic").select("app", "rec")
-    return matching.screen(people.drop("cnic"), names, same=same)
+    return people.drop("cnic"), names, same
+
+
+def screen_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every applicant against every list name at the applicant's own threshold, and every record of its CNIC: the whole matching core."""
+    people, names, same = _screening(spark, sf_dir)
+    return matching.screen(people, names, same=same)
 
 
 def screen_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,16 +42,11 @@ def screen_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``total`` is the true number of the source. Sources follow the order of the report; ties go to the smaller record id.
     """
-    found = screen_applicants(spark, sf_dir)
-    numbers = lambda t, key: table(spark, sf_dir, t).groupBy(F.col("id").alias(key)).agg(F.max(scalars.normalize_cnic(F.col("cnic"))).alias(f"{key}_cnic"))
-    sources = table(spark, sf_dir, "list_records").groupBy(F.col("id").alias("rec")).agg(F.min("source_key").alias("source_key"), F.max(scalars.normalize_cnic(F.col("cnic"))).alias("rec_cnic"))
+    people, names, same = _screening(spark, sf_dir)
+    numbers = _people(spark, sf_dir).groupBy(F.col("id").alias("app")).agg(F.max(scalars.normalize_cnic(F.col("cnic"))).alias("cnic"))
+    records = table(spark, sf_dir, "list_records").groupBy(F.col("id").alias("rec")).agg(F.min("source_key").alias("source_key"), F.max(scalars.normalize_cnic(F.col("cnic"))).alias("cnic"))
     source = F.element_at(F.create_map(*[F.lit(x) for p in _SOURCE_OF_KEY.items() for x in p]), F.col("source_key"))
-    rows = found.join(sources.hint("merge"), "rec").join(numbers("applicants", "app").hint("merge"), "app")
-    rows = rows.select("app", "rec", "score", "reason", source.alias("source"), ((F.col("app_cnic") != "") & (F.col("app_cnic") == F.col("rec_cnic"))).alias("by_cnic"))
-    top = matching.top_matches(rows, ["app", "source"], [F.desc("by_cnic"), F.desc("score"), F.asc("rec")])
-    place = F.array_position(F.array(*[F.lit(s) for s in verdict.SOURCE_ORDER]), F.col("source"))
-    over_all = F.row_number().over(W.partitionBy("app").orderBy(F.desc("by_cnic"), F.desc("score"), place, "place"))
-    return top.select("app", "source", "rec", "score", "reason", "by_cnic", "place", "total", (over_all <= 50).alias("in_case"))
+    return matching.screen(people, names, same=same, report=(records.select("rec", source.alias("source"), "cnic"), numbers))
 
 
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,36 @@ def test_screening_shuffles_names_and_not_pairs(spark):
     assert written() - before < 250_000
 
 
+def test_screening_report_ranks_where_the_hits_are(spark, tmp_path):
+    """The best of each applicant and source, with true totals, and no hit crosses a shuffle."""
+    from sievework.plans import reference
+
+    cnic = lambda i: f"90000-00012{i % 90:02d}-5"
+    people = [(i, "Muhammad Ali Khan", cnic(i) if i % 2 else None, 80.0, 1) for i in range(300)]
+    records = [(f"r{i}", ["Muhamad Ali Khan" if i % 3 else "Muhammad Ali"], "Individual", cnic(i) if i % 5 else None, ("unsc", "pep", "pep", "unknown")[i % 4]) for i in range(240)]
+    spark.createDataFrame(people, "id long, full_name string, cnic string, threshold double, submitted_at int").write.parquet(f"{tmp_path}/applicants.parquet")
+    spark.createDataFrame(records, "id string, names array<string>, type string, cnic string, source_key string").write.parquet(f"{tmp_path}/list_records.parquet")
+    store = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        store.listenerBus().waitUntilEmpty(30_000)
+        return store.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = written()
+    got = {(r["app"], r["source"], r["place"]): (r["rec"], r["by_cnic"], r["total"], r["in_case"]) for r in reference.screen_top(spark, str(tmp_path)).collect()}
+    assert written() - before < 150_000
+    score_of = {r: matching.score(text.tokens_text("Muhammad Ali Khan"), text.tokens_text(n[0]))[0] for r, n, *_ in records}
+    expected, order = {}, {"UNSC": 1, "PEP": 6, None: 0}
+    for app, _, number, *_ in people:
+        kept = []
+        for source, keys in (("UNSC", ("unsc",)), ("PEP", ("pep",)), (None, ("unknown",))):
+            mine = sorted((not (number is not None and number == c), -score_of[r], r) for r, _, _, c, s in records if s in keys)
+            kept += [(a, b, order[source], p, source, r, len(mine)) for p, (a, b, r) in enumerate(mine[:50], 1)]
+        for n, (far, _, _, p, source, r, total) in enumerate(sorted(kept, key=lambda x: x[:4])):
+            expected[app, source, p] = (r, not far, total, n < 50)
+    assert got == expected and len({x[3] for x in got.values()}) == 2
+
+
 def test_screening_of_a_block_in_small_shares(monkeypatch):
     """However little is taken at a time, what is met equals the full scan, initials, titles and long names included."""
     import pyarrow as pa
