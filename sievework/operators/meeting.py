@@ -4,7 +4,8 @@ Names arrive as folded parts joined by blanks and become numbers of parts. Pairs
 parts of one side are a sorted index; the other side is looked up in it by the pairs
 of its rarest parts (``probes``), each with everything that resembles it. What is
 found is scored at once, so a pair of names never leaves the task: only hits do.
-List names are taken a chunk at a time, lookups and scores a bounded number at a time.
+List names are taken a chunk at a time, lookups and scores a bounded number at a time,
+and hits are held as whole numbers until all names of a record have been met.
 
 Scores equal ``matching.score``, sums in the order of the parts.
 """
@@ -22,7 +23,7 @@ from sievework.functions import text
 # Fixed values of the scoring, and how much is held at a time.
 CUTOFF, INITIAL, SUBSET, MAX_EXTRA, EPS = 0.88, 0.9, 88.0, 3, 1e-9
 REASONS = ("", "close", "exact", "initials", "subset")
-CHUNK, AT_ONCE, HELD = 200_000, 1_000_000, 6_000_000
+CHUNK, AT_ONCE, HELD = 100_000, 500_000, 2_000_000
 LETTERS = 128  # first letters as numbers behind those of the parts; folded parts are ASCII
 
 
@@ -116,16 +117,14 @@ class Parts:
         counts = np.bincount(of, minlength=self.size)
         return partner[order], np.cumsum(counts) - counts, counts
 
-    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Similarity of parts a of applicants and b of lists; 0 for what is no part (-1)."""
+    def alike(self, a: np.ndarray, b: np.ndarray, short: np.ndarray, same_letter: np.ndarray) -> np.ndarray:
+        """Similarity of parts a of applicants (-1 is none) and b of lists (-2 is none); ``short``: one of them is a letter."""
         out = np.zeros(len(a))
-        there = (a >= 0) & (b >= 0)
-        short = there & (self.single[a] | self.single[b])
-        out[short & (self.letter[a] == self.letter[b])] = INITIAL
-        rest = np.flatnonzero(there & ~short)
-        which, at = self.near.find(a[rest].astype(np.int64) * self.size + b[rest])
+        rest = np.flatnonzero((a >= 0) & (b >= 0) & ~short & (a != b))
+        which, at = self.near.find(a[rest] * self.size + b[rest])
         out[rest[which]] = self.sims[at]
-        out[there & (a == b)] = 1.0
+        out[short & same_letter] = INITIAL
+        out[a == b] = 1.0
         return out
 
 
@@ -246,15 +245,17 @@ def score(q: Names, c: Names, qi: np.ndarray, ci: np.ndarray, parts: Parts) -> t
 
 
 def _score(q: np.ndarray, c: np.ndarray, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
-    best = {"q": np.zeros(q.shape), "c": np.zeros(c.shape)}
+    best = {"q": np.zeros(q.shape, order="F"), "c": np.zeros(c.shape, order="F")}
     overlap = np.zeros(len(q), dtype=bool)
-    for i in range(q.shape[1]):
-        for j in range(c.shape[1]):
-            a, b = q[:, i], c[:, j]
-            sim = parts.alike(a, b)
-            best["q"][:, i] = np.maximum(best["q"][:, i], sim)
-            best["c"][:, j] = np.maximum(best["c"][:, j], sim)
-            overlap |= (a >= 0) & (b >= 0) & (parts.letter[a] == parts.letter[b])
+    # By columns; what stands behind the end of one side equals nothing of the other.
+    side = {s: [(np.where(t >= 0, t, none).astype(np.int64), (t >= 0) & parts.single[t], np.where(t >= 0, parts.letter[t], none)) for t in x.T] for s, x, none in (("q", q, -1), ("c", c, -2))}
+    for i, (a, a_single, a_letter) in enumerate(side["q"]):
+        for j, (b, b_single, b_letter) in enumerate(side["c"]):
+            same_letter = a_letter == b_letter
+            sim = parts.alike(a, b, a_single | b_single, same_letter)
+            np.maximum(best["q"][:, i], sim, out=best["q"][:, i])
+            np.maximum(best["c"][:, j], sim, out=best["c"][:, j])
+            overlap |= same_letter
     size, n, w, whole, own, single = {}, {}, {}, {}, {}, {}
     for s, toks in (("q", q), ("c", c)):
         there, hit = toks >= 0, best[s] > 0
@@ -281,8 +282,13 @@ def _score(q: np.ndarray, c: np.ndarray, parts: Parts) -> tuple[np.ndarray, np.n
     return np.where(subset, SUBSET, value), reason
 
 
+def tenths(value: np.ndarray) -> np.ndarray:
+    """Scores as whole numbers: they have one decimal."""
+    return np.rint(value * 10).astype(np.int16)
+
+
 def hits(q: Names, least: np.ndarray, c: Names, parts: Parts) -> Iterator[tuple[np.ndarray, ...]]:
-    """(q, c, score, reason) of all pairs of names with a score of ``least`` of the applicant's name or more; some twice."""
+    """(q, c, tenths of the score, reason) of all pairs of names with a score of ``least`` of the applicant's name or more; some twice."""
     able = np.flatnonzero(np.isfinite(least))  # without a threshold nothing reaches it
     if len(able) < len(q.n):
         some = Names(q.toks[np.repeat(np.isfinite(least), q.n)], q.n[able])
@@ -318,7 +324,7 @@ def hits(q: Names, least: np.ndarray, c: Names, parts: Parts) -> Iterator[tuple[
             qi, ci = np.divmod(np.unique(np.concatenate(held)), len(some.n))
             value, reason = score(q, some, qi, ci, parts)
             ok = value >= least[qi]
-            return qi[ok], ci[ok] + at, value[ok], reason[ok]
+            return qi[ok].astype(np.int32), (ci[ok] + at).astype(np.int32), tenths(value[ok]), reason[ok]
 
         held, n = [], 0
         for codes in pairs():
@@ -364,7 +370,7 @@ def first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best(app: np.ndarray, rec: np.ndarray, ord_: np.ndarray, value: np.ndarray, reason: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The best name of each record for each applicant; the first on a tie."""
+    """The best name of each record for each applicant; the first on a tie. ``value`` in tenths."""
     order, new = first_of(app, rec, -value, ord_, -reason.astype(np.int64))
     at = order[new]
     return app[at], rec[at], ord_[at], value[at], reason[at]
@@ -374,15 +380,22 @@ def best(app: np.ndarray, rec: np.ndarray, ord_: np.ndarray, value: np.ndarray,
 NEAR, APPLICANT, LISTED, SAME, RECORD, NUMBER = range(6)
 
 
-def matches(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("app", app_type), ("rec", rec_type), ("name_ord", ord_type), ("score", pa.float64()), ("reason", pa.string())])
-
-
 def screened(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType):
-    """A function of the batches (kind, app, rec, text, other, number) of one block to its matches (app, rec, name_ord, score, reason)."""
-    schema = matches(app_type, rec_type, ord_type)
+    """A function of the batches of one block to batches of its matches."""
+    meet_block = _met(app_type, rec_type, ord_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in meet_block(batches):
+            yield from found.combine_chunks().to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def _met(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType):
+    """A function of the batches (kind, app, rec, text, other, number) of one block to its matches (app, rec, name_ord, score, reason): a table for each share of the applicants."""
+    schema = pa.schema([("app", app_type), ("rec", rec_type), ("name_ord", ord_type), ("score", pa.float64()), ("reason", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         parts, near, people, listed, same = Parts(), [], Rows(app_type), Rows(rec_type), []
         for batch in batches:
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
@@ -401,42 +414,43 @@ def screened(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType
         flat = lambda i, kind: np.concatenate([*(x[i] for x in near), np.zeros(0, kind)]).astype(kind)
         parts.close(flat(0, np.int64), flat(1, np.int64), flat(2, np.float64))
         near.clear()
-        found = [best(app[qi], rec[ci], ord_[ci], value, reason) for qi, ci, value, reason in hits(q, least, c, parts)]
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int8))
-        found = best(*(np.concatenate(x) for x in zip(none, *found)))
-        yield from out(found, apps, recs)
-        for a, r in same:
-            yield from numbered(a, r, q, app, apps, c, rec, recs, ord_, parts, found)
-
-    def numbered(a, r, q, app, apps, c, rec, recs, ord_, parts, found):
-        """Pairs of one number that were not found by name: every pair of their names is scored, whatever the score."""
-        i, j = (pc.index_in(x, value_set=every, skip_nulls=True) for x, every in ((a, apps), (r, recs)))
-        i, known = i.fill_null(-1).to_numpy().astype(np.int64), j.is_valid().to_numpy(zero_copy_only=False)
-        j = j.fill_null(-1).to_numpy().astype(np.int64)
-        rest = (i >= 0) & ~(known & np.isin(i * (len(recs) + 1) + j, found[0] * (len(recs) + 1) + found[1]))
-        bare = np.flatnonzero(rest & ~known)
-        rest = np.flatnonzero(rest & known)
+        none = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.int8))
+        qi, ci, value, reason = (np.concatenate(x) for x in zip(none, *hits(q, least, c, parts)))
+        numbers = tuple(pa.chunked_array([x[k] for x in same], type=kind) for k, kind in ((0, app_type), (1, rec_type)))
+        i, j = (pc.index_in(x, value_set=every, skip_nulls=True).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x, every in zip(numbers, (apps, recs)))
         by = {}
-        for s, of in (("q", app), ("c", rec)):
-            order = np.argsort(of, kind="stable")
-            counts = np.bincount(of, minlength=len(apps) if s == "q" else len(recs))
-            by[s] = order, np.cumsum(counts) - counts, counts
+        for s, of, n in (("q", app, len(apps)), ("c", rec, len(recs))):
+            counts = np.bincount(of, minlength=n)
+            by[s] = np.argsort(of, kind="stable"), np.cumsum(counts) - counts, counts
+        order = np.argsort(app[qi], kind="stable")
+        many = np.bincount(app[qi], minlength=len(apps))
+        at = 0
+        for some in shares(many + 1, AT_ONCE):
+            rows = order[at : at + many[some].sum()]
+            at += len(rows)
+            found = best(app[qi[rows]], rec[ci[rows]], ord_[ci[rows]], value[rows], reason[rows])
+            mine = np.flatnonzero((i >= some.start) & (i < some.stop))
+            rest = mine[~((j[mine] >= 0) & np.isin(i[mine] * (len(recs) + 1) + j[mine], found[0] * (len(recs) + 1) + found[1]))]
+            named, bare = rest[j[rest] >= 0], rest[j[rest] < 0]
+            other = numbered(i[named], j[named], by, rec, app, ord_, q, c, parts)
+            yield pa.concat_tables([
+                table_of(*(x.take(pa.array(k)) for x, k in ((apps, np.append(found[0], other[0])), (recs, np.append(found[1], other[1])))), *(np.append(x, y) for x, y in zip(found[2:], other[2:]))),
+                table_of(*(x.take(pa.array(bare)) for x in numbers), *(np.zeros(len(bare), np.int64),) * 3),
+            ])
+
+    def numbered(i, j, by, rec, app, ord_, q, c, parts):
+        """The best name for pairs of one number that were not found by name: every pair of their names is scored, whatever the score."""
         (qo, qs, qn), (co, cs, cn) = by["q"], by["c"]
-        p, w = spread(qn[i[rest]] * cn[j[rest]])
-        x, y = np.divmod(w, cn[j[rest[p]]])
-        qi, ci = qo[qs[i[rest[p]]] + x], co[cs[j[rest[p]]] + y]
+        p, w = spread(qn[i] * cn[j])
+        x, y = np.divmod(w, cn[j[p]])
+        qi, ci = qo[qs[i[p]] + x], co[cs[j[p]] + y]
         value, reason = score(q, c, qi, ci, parts)
         # Without a score the first place, 0, stands for all names; anything above 0 comes before it.
         zero = value <= 0
-        yield from out(best(app[qi], rec[ci], np.where(zero, 0, ord_[ci]), np.where(zero, 0.0, value), np.where(zero, 0, reason)), apps, recs)
-        if len(bare):
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(bare)), r.take(pa.array(bare)), pa.array(np.zeros(len(bare))).cast(ord_type), pa.array(np.zeros(len(bare))), pa.array([""] * len(bare), pa.string())], schema=schema)
+        return best(app[qi], rec[ci], np.where(zero, 0, ord_[ci]), np.where(zero, 0, tenths(value)), np.where(zero, 0, reason))
 
-    def out(rows, apps, recs):
-        reasons = pa.array(REASONS, pa.string())
-        for at in range(0, len(rows[0]), 50_000):
-            app, rec, ord_, value, reason = (x[at : at + 50_000] for x in rows)
-            yield pa.RecordBatch.from_arrays([apps.take(pa.array(app)), recs.take(pa.array(rec)), pa.array(ord_).cast(ord_type), pa.array(value), reasons.take(pa.array(reason.astype(np.int64)))], schema=schema)
+    def table_of(app, rec, ord_, value, reason):
+        return pa.table([app, rec, pa.array(ord_).cast(ord_type), pa.array(value / 10.0), pa.array(REASONS, pa.string()).take(pa.array(reason.astype(np.int64)))], schema=schema)
 
     return run
 
@@ -460,11 +474,12 @@ def reported(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType
     Rows of kind RECORD (rec, text: source, other: number) and NUMBER (app, other: number) say what that needs; without them a match
     is left out. ``total`` is the true number of the source, ``in_case`` whether a row is among the first k of all sources.
     """
-    meet_block, kind = screened(app_type, rec_type, ord_type), matches(app_type, rec_type, ord_type)
+    meet_block = _met(app_type, rec_type, ord_type)
     schema = pa.schema([("app", app_type), ("source", pa.string()), ("rec", rec_type), ("score", pa.float64()), ("reason", pa.string()), ("by_cnic", pa.bool_()), ("place", pa.int32()), ("total", pa.int64()), ("in_case", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {RECORD: [], NUMBER: []}
+        codes = lambda x: x.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
         def names() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -474,28 +489,28 @@ def reported(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType
                         some.append(batch.filter(pa.array(kinds == x)))
                 yield batch.filter(pa.array(kinds < RECORD))
 
-        found = pa.Table.from_batches(meet_block(names()), schema=kind)
-        if not (found.num_rows and held[RECORD] and held[NUMBER]):
-            return
-        records, numbers = (pa.Table.from_batches(x).combine_chunks() for x in held.values())
-        codes = lambda x: x.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        at = lambda x, every: pc.index_in(x, value_set=every.combine_chunks(), skip_nulls=True).fill_null(-1).to_numpy().astype(np.int64)
-        rec, app = at(found["rec"], records["rec"]), at(found["app"], numbers["app"])
-        known = np.flatnonzero((rec >= 0) & (app >= 0))
-        found, rec, app = found.take(pa.array(known)), rec[known], app[known]
-        both = codes(pa.chunked_array([*numbers["other"].chunks, *records["other"].chunks, pa.array([""], pa.string())]))
-        mine, theirs = both[: numbers.num_rows][app], both[numbers.num_rows : -1][rec]
-        by = (mine == theirs) & (mine != both[-1])
-        by &= ~numbers["other"].is_null().to_numpy()[app]
-        source, position = codes(records["text"])[rec], (pc.index_in(records["text"], value_set=pa.array(sources)).fill_null(-1).to_numpy().astype(np.int64))[rec]
-        rank = np.empty(records.num_rows, np.int64)
-        rank[pc.sort_indices(records["rec"]).to_numpy()] = np.arange(records.num_rows)
-        score = found["score"].to_numpy()
-        place, total = places(app, source, ~by, -score, rank[rec], groups=2)
-        top = np.flatnonzero(place <= k)
-        over_all, _ = places(app[top], ~by[top], -score[top], position[top], place[top], groups=1)
-        found, text_ = found.take(pa.array(top)), records["text"].combine_chunks().take(pa.array(rec[top]))
-        columns = [found["app"], text_, found["rec"], found["score"], found["reason"], by[top], place[top], total[top], over_all <= k]
-        yield from pa.table([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema).combine_chunks().to_batches(max_chunksize=50_000)
+        records = None
+        for found in meet_block(names()):
+            if not (held[RECORD] and held[NUMBER]):
+                return
+            if records is None:
+                records, numbers = (pa.Table.from_batches(x).combine_chunks() for x in held.values())
+                both = codes(pa.chunked_array([*numbers["other"].chunks, *records["other"].chunks, pa.array([""], pa.string())]))
+                source, position = codes(records["text"]), pc.index_in(records["text"], value_set=pa.array(sources)).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+                rank = np.empty(records.num_rows, np.int64)
+                rank[pc.sort_indices(records["rec"]).to_numpy()] = np.arange(records.num_rows)
+            at = lambda x, every: pc.index_in(x, value_set=every.combine_chunks(), skip_nulls=True).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            rec, app = at(found["rec"], records["rec"]), at(found["app"], numbers["app"])
+            known = np.flatnonzero((rec >= 0) & (app >= 0))
+            found, rec, app = found.take(pa.array(known)), rec[known], app[known]
+            mine = both[: numbers.num_rows][app]
+            by = (mine == both[numbers.num_rows : -1][rec]) & (mine != both[-1])
+            score = found["score"].to_numpy()
+            place, total = places(app, source[rec], ~by, -score, rank[rec], groups=2)
+            top = np.flatnonzero(place <= k)
+            over_all, _ = places(app[top], ~by[top], -score[top], position[rec[top]], place[top], groups=1)
+            found, stated = found.take(pa.array(top)), records["text"].take(pa.array(rec[top]))
+            own = [pa.array(x, kind) for x, kind in ((by[top], pa.bool_()), (place[top], pa.int32()), (total[top], pa.int64()), (over_all <= k, pa.bool_()))]
+            yield from pa.table([found["app"], stated, found["rec"], found["score"], found["reason"], *own], schema=schema).combine_chunks().to_batches(max_chunksize=50_000)
 
     return run
