@@ -377,7 +377,17 @@ def best(app: np.ndarray, rec: np.ndarray, ord_: np.ndarray, value: np.ndarray,
 
 
 # Kinds of rows of a block.
-NEAR, APPLICANT, LISTED, SAME, RECORD, NUMBER = range(6)
+NEAR, APPLICANT, LISTED, SAME, PACKED, RECORD, NUMBER = range(7)
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """List names (rec, text, number), a batch of them compressed in one row: every block gets them all."""
+    for batch in batches:
+        if batch.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
 
 
 def screened(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType):
@@ -397,6 +407,11 @@ def _met(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         parts, near, people, listed, same = Parts(), [], Rows(app_type), Rows(rec_type), []
+
+        def add(to: Rows, keys: pa.Array, names: pa.Array, number: pa.Array) -> None:
+            split = pc.split_pattern(names, " ")
+            to.add(keys, parts.encode(split.flatten()), pc.list_value_length(split).to_numpy(zero_copy_only=False), number.to_numpy(zero_copy_only=False))
+
         for batch in batches:
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
             for kind in np.unique(kinds):
@@ -405,11 +420,13 @@ def _met(app_type: pa.DataType, rec_type: pa.DataType, ord_type: pa.DataType):
                     same.append((some.column("app"), some.column("rec")))
                 elif kind == NEAR:
                     near.append((parts.encode(some.column("text")), parts.encode(some.column("other")), some.column("number").to_numpy(zero_copy_only=False)))
+                elif kind == PACKED:
+                    for blob in some.column("packed"):
+                        names = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+                        add(listed, names.column("rec"), names.column("text"), names.column("number"))
                 else:
-                    split = pc.split_pattern(some.column("text"), " ")
-                    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
                     to, key = (people, "app") if kind == APPLICANT else (listed, "rec")
-                    to.add(some.column(key), parts.encode(split.flatten()), sizes, some.column("number").to_numpy(zero_copy_only=False))
+                    add(to, some.column(key), some.column("text"), some.column("number"))
         (q, app, apps, least), (c, rec, recs, ord_) = people.done(), listed.done()
         flat = lambda i, kind: np.concatenate([*(x[i] for x in near), np.zeros(0, kind)]).astype(kind)
         parts.close(flat(0, np.int64), flat(1, np.int64), flat(2, np.float64))
